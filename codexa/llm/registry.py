@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexa.llm.byte_bpe import op10_byte_bpe
+from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
+from codexa.llm.mixing import op1_mix_sources
 from codexa.llm.simhash_dedup import op6_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,9 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op6_simhash": op6_simhash,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": OP8_SQL}
