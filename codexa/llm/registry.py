@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codexa.llm.byte_bpe import op10_byte_bpe
+from codexa.llm.language_id import op4_language_id
 from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
 from codexa.llm.mixing import op1_mix_sources
 from codexa.llm.simhash_dedup import op6_simhash
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op4_language_id": op4_language_id,
         "op6_simhash": op6_simhash,
         "op8_line_dedup": op8_line_dedup,
         "op10_byte_bpe": op10_byte_bpe,
