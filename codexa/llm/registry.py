@@ -10,6 +10,7 @@ from codexa.llm.byte_bpe import op10_byte_bpe
 from codexa.llm.language_id import op4_language_id
 from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
 from codexa.llm.mixing import op1_mix_sources
+from codexa.llm.quality_rules import op2_quality_rules
 from codexa.llm.simhash_dedup import op6_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_quality_rules": op2_quality_rules,
         "op4_language_id": op4_language_id,
         "op6_simhash": op6_simhash,
         "op8_line_dedup": op8_line_dedup,
