@@ -12,6 +12,7 @@ from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
 from codexa.llm.mixing import op1_mix_sources
 from codexa.llm.quality_rules import op2_quality_rules
 from codexa.llm.simhash_dedup import op6_simhash
+from codexa.llm.suffix_dedup import op3_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_quality_rules": op2_quality_rules,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op6_simhash": op6_simhash,
         "op8_line_dedup": op8_line_dedup,
