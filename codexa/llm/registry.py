@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codexa.llm.byte_bpe import op10_byte_bpe
 from codexa.llm.language_id import op4_language_id
 from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
+from codexa.llm.media import op7_media
 from codexa.llm.mixing import op1_mix_sources
 from codexa.llm.quality_rules import op2_quality_rules
 from codexa.llm.simhash_dedup import op6_simhash
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op6_simhash": op6_simhash,
+        "op7_media": op7_media,
         "op8_line_dedup": op8_line_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
