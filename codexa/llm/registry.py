@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codexa.llm.byte_bpe import op10_byte_bpe
+from codexa.llm.html_extract import OP9_SQL, op9_html
 from codexa.llm.language_id import op4_language_id
 from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
 from codexa.llm.media import op7_media
@@ -27,9 +28,10 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op7_media": op7_media,
         "op8_line_dedup": op8_line_dedup,
+        "op9_html": op9_html,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_html": OP9_SQL}
