@@ -220,7 +220,7 @@ OP9_SQL = r"""
 WITH cut AS (
   SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages
 ), plain AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM cut
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM cut
 ), spaced AS (
   SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM plain
 )
