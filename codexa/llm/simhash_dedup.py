@@ -228,27 +228,25 @@ def fingerprint_links(marks: DataFrame, budget: int = BUDGET, key_rows: int = KE
         rows = settle(dealt.join(large, "key", "left_semi"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, text_key, mark, component_id, leader) for each row of documents(doc_id, text).
-
-    component_id: the smallest doc_id reachable over linked fingerprints, its own included (null if
-    every row of the component has a null doc_id). leader: true for the row to keep of a component,
-    the one of doc_id component_id (smallest text_key where several have it); rows equal in both are
-    the same document.
-    Null and empty texts have fingerprint 0 and link like any other. No rows give no rows.
-    """
+def _labelled(docs: DataFrame, words: int, seed: int, budget: int) -> DataFrame:
+    """(doc_id, text_key, mark, root, component_id) for each row."""
     rows = settle(fingerprints(docs, words, seed))
     kinds = settle(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id")))
     roots = components(fingerprint_links(kinds.select("mark"), budget))
     named = kinds.join(roots, kinds["mark"] == roots["node"], "left").select(kinds["mark"], F.coalesce("root", kinds["mark"]).alias("root"), "doc_id")
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = named.select("mark", "root").join(ids, "root").select("mark", "root", "component_id")
-    labelled = rows.join(labels, "mark")
-    best = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("leader_key"))
-    return labelled.join(best, "root").select(
-        "doc_id", "text_key", "mark", "component_id",
-        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("leader_key"))).alias("leader"),
-    )
+    ids = settle(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    labels = settle(named.select("mark", "root").join(ids, "root"))
+    return rows.join(labels, "mark").select("doc_id", "text_key", "mark", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, text_key, mark, component_id) for each row of documents(doc_id, text).
+
+    component_id: the smallest doc_id reachable over linked fingerprints, its own included (null if
+    every row of the component has a null doc_id). Null and empty texts have fingerprint 0 and link
+    like any other. Repeated rows keep a row each. No rows give no rows.
+    """
+    return _labelled(docs, words, seed, budget).drop("root")
 
 
 def hex_mark(column: str = "mark"):
@@ -262,10 +260,15 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex_mark().alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one row of each near-duplicate component; columns as they were."""
-    found = near_duplicates(docs)
-    kept = settle(found.where("leader").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")))
+def keep_one(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, budget: int = BUDGET) -> DataFrame:
+    """The documents, one row of each near-duplicate component; columns as they were.
+
+    The row of doc_id component_id stays; where several have that id (or none has one), the one of
+    smallest text hash, and one only of rows equal in both.
+    """
+    found = _labelled(docs, words, seed, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("root").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    kept = settle(first.select("doc_id", "text_key", "n"))
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), text_key().alias("text_key"))
     match = packed["doc_id"].eqNullSafe(kept["doc_id"]) & (packed["text_key"] == kept["text_key"])
     out = packed.join(kept, match, "left_semi").select("doc.*")
