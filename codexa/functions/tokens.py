@@ -3,7 +3,7 @@
 words() is the full rule on Python strings, run over Arrow batches. native_words()
 is a column expression for text without line-end hyphens, format characters and
 characters that compatibility folding changes; on such text both agree but for
-letters whose case folding is longer than their lower case.
+letters other than ß whose case folding is longer than their lower case.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codexa.functions.strings import bind
+
 #: Longest gap between a line-end hyphen and the rest of the word, in characters.
 GAP = 1024
 
@@ -62,15 +64,19 @@ def shingles(found: list[str], k: int) -> list[str]:
 
 def native_words(text: Column) -> Column:
     """Words of plain text as a column expression."""
-    plain = F.lower(F.regexp_replace(text, r"\p{Cf}+", ""))
+    plain = F.replace(F.lower(F.regexp_replace(text, r"\p{Cf}+", "")), F.lit("ß"), F.lit("ss"))
     return F.filter(F.split(plain, r"[\p{P}\p{S}\s\p{Z}\p{Cc}]+"), lambda w: w != "")
 
 
 def native_shingles(found: Column, k: int) -> Column:
     """shingles() as a column expression over an array of words."""
-    n = F.size(found)
-    at = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    return F.when(n > 0, F.transform(at, lambda i: F.array_join(F.slice(found, i, k), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        at = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+        return F.when(n > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return bind(found, of)
 
 
 def tokenize(text: Column) -> Column:

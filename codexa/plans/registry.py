@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, one per operator of the inventory."""
+"""Queries over the driver's tables, one or more for each operator of the inventory."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexa.plans import books, text
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = {**text.QUERIES, **books.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
