@@ -147,12 +147,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, prior: f
     A rule's accuracy is over the documents on which it votes; to abstain says nothing.
     """
     good, bad = np.array(ON_GOOD), np.array(ON_BAD)
-    votes = np.array([p for p, _ in patterns]).reshape(len(patterns), -1)
+    if not patterns:
+        return prior, good[None], bad[None]
+    votes = np.array([p for p, _ in patterns])
     counts = np.array([c for _, c in patterns], float)
     onehot = np.stack([votes == v for v in (-1, 1)], axis=2).astype(float)
     on_good, on_bad, share = np.tile(good, (votes.shape[1], 1)), np.tile(bad, (votes.shape[1], 1)), prior
     strength = 1 + BELIEF * counts.sum()
-    for _ in range(rounds if len(patterns) else 0):
+    for _ in range(rounds):
         p = posterior(votes, share, on_good, on_bad)
         before = share
         for table, weight, belief in ((on_good, p, strength * prior * good), (on_bad, 1 - p, strength * (1 - prior) * bad)):
