@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexa.plans import books, text
+from codexa.plans import books, made, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**text.QUERIES, **books.QUERIES}
+ALL = {**text.QUERIES, **books.QUERIES, **made.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -109,8 +109,8 @@ def parts(parsed: DataFrame) -> DataFrame:
     rest = rows.select(F.col("path").alias("book_id"), F.explode(F.filter("resources", lambda r: ~F.array_contains(used, r["pos"]))).alias("r")).select(
         "book_id", (F.col("r.pos") + 1_000_000).cast("long").alias("pos"), F.lit(False).alias("linear"), F.lit(False).alias("in_order"), "r"
     )
-    both = order.unionByName(rest).withColumn("c", convert(F.col("r.content"), F.col("r.media_type"), PLAIN, F.col("r.charset")))
-    return both.select("book_id", "pos", "linear", "in_order", F.decode("c.data", "UTF-8").alias("text"), F.coalesce("r.error_code", "c.error").alias("error"))
+    both = order.unionByName(rest).withColumn("c", convert(F.col("r.content"), F.col("r.media_type"), PLAIN, F.col("r.charset"), "utf-8"))
+    return both.select("book_id", "pos", "linear", "in_order", F.make_valid_utf8(F.col("c.data").cast("string")).alias("text"), F.coalesce("r.error_code", "c.error").alias("error"))
 
 
 def book_texts(parsed: DataFrame) -> DataFrame:
