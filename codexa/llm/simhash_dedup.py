@@ -192,8 +192,8 @@ def _forest(batches: Iterator[pa.RecordBatch], width: int, budget: int, rows: in
 
 def _deal(rows: DataFrame, width: int, blocks: int) -> DataFrame:
     """Each row once per block of its `width` remaining bits; the block's value goes into the key."""
-    size = -(-width // blocks)
-    spans = [(at, min(size, width - at)) for at in range(0, width, size)]
+    edges = [i * width // blocks for i in range(blocks + 1)]
+    spans = [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     cut = [
         F.struct(
             F.xxhash64("key", F.lit(at), F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << n) - 1))).alias("key"),
