@@ -29,6 +29,12 @@ def simhash_classes(marks: DataFrame) -> DataFrame:
     return marks.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
+def simhash_members(marks: DataFrame) -> DataFrame:
+    """(doc_id, simhash) -> (doc_id, class_id, n): each document's representative and the size of its class."""
+    classes = simhash_classes(marks).withColumnRenamed("doc_id", "class_id")
+    return marks.join(classes, "simhash").select("doc_id", "class_id", "n")
+
+
 def simhash_pairs(marks: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b, distance): representatives of fingerprints that differ in 1 to `distance` bits (3 at most)."""
     if not 0 < distance <= 3:

@@ -66,6 +66,10 @@ def near_dup_pairs(spark, sf):
     return dedup.simhash_pairs(_marks(spark, sf)).select("a", "b", "distance")
 
 
+def near_dup_classes(spark, sf):
+    return dedup.simhash_members(_marks(spark, sf))
+
+
 def minhash_pairs(spark, sf):
     return dedup.minhash_pairs(_docs(spark, sf).select("doc_id", fp.minhash(F.col("text")).alias("minhash")))
 
@@ -240,6 +244,7 @@ QUERIES = {
     "minhash16": (minhash16, f"{MIN_SQL} SELECT doc_id, place, value FROM minhashes"),
     "simhash": (simhash, f"{SIMHASH_SQL} SELECT doc_id, simhash FROM marks"),
     "near_dup_pairs": (near_dup_pairs, f"{SIMHASH_SQL}, classes AS (SELECT simhash, min(doc_id) AS doc_id FROM marks GROUP BY simhash) SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS BIGINT) AS distance FROM classes x JOIN classes y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3"),
+    "near_dup_classes": (near_dup_classes, f"{SIMHASH_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS class_id, count(*) OVER (PARTITION BY simhash) AS n FROM marks"),
     "minhash_pairs": (minhash_pairs, None),
     "neighbour_similarity": (neighbour_similarity, f"{SIMHASH_SQL}, {MIN_SQL[len(HASHED_SQL) + 2:]}, agree AS (SELECT x.doc_id, sum(CASE WHEN x.value = y.value THEN 1 ELSE 0 END) / 16 AS jaccard FROM minhashes x JOIN minhashes y ON y.doc_id = x.doc_id + 1 AND x.place = y.place GROUP BY x.doc_id) SELECT x.doc_id, CAST(bit_count(xor(x.simhash, y.simhash)) AS BIGINT) AS hamming, (64 - bit_count(xor(x.simhash, y.simhash))) / 64 AS similarity, jaccard FROM marks x JOIN marks y ON y.doc_id = x.doc_id + 1 JOIN agree a ON a.doc_id = x.doc_id"),
     "benchmark_containment": (benchmark_containment, f"WITH words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest({SHINGLES_SQL}) AS s FROM words), iw AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark), i AS (SELECT DISTINCT item_id, unnest({SHINGLES_SQL}) AS s FROM iw), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id) SELECT item_id, doc_id, count(*) AS shared, count(*) / n AS share FROM i JOIN s USING (s) JOIN n USING (item_id) GROUP BY item_id, doc_id, n"),
