@@ -122,6 +122,24 @@ def _system(raw: bytes) -> dict[int, bytes]:
     return out
 
 
+def topics(archive: Archive, words) -> list[tuple[str, str]]:
+    """(path, title) of the topics in the order of the binary tables; none if a table is missing or broken."""
+    names = ("/#TOPICS", "/#URLTBL", "/#URLSTR")
+    if not all(n in archive for n in names):
+        return []
+    table, links, paths = (archive.read(n) for n in names)
+    titles = archive.read("/#STRINGS") if "/#STRINGS" in archive else b""
+    out = []
+    for at in range(0, len(table) - 15, 16):
+        title, link = struct.unpack_from("<II", table, at + 4)
+        if link + 12 > len(links):
+            continue
+        (place,) = struct.unpack_from("<I", links, link + 8)
+        if place + 8 < len(paths) and (path := topic(words(paths[place + 8 :]))):
+            out.append((path, words(titles[title:]) if title < len(titles) else ""))
+    return out
+
+
 def topic(path: str) -> str | None:
     """A link's target within the archive."""
     path = re.split("[;#]", path.strip())[0].strip()
@@ -176,11 +194,15 @@ def read(data: bytes, options: Options) -> Book:
                         book.order.append((r, True))
                     break
     home = by_path.get((start or "").lower())
+    listed = topics(archive, words)
+    if not book.order:
+        found = [r for path, _ in listed if (r := by_path.get(path.lower())) and r.media_type in ("text/html", "application/xhtml+xml")]
+        book.order = [(r, True) for i, r in enumerate(found) if all(r is not o for o in found[:i])]
     if not book.order and home:
         book.order.append((home, True))
     page = charset.decode(archive.read("/" + home.href), home.charset) if home and home.error_code is None else ""
     titled = re.search(r"<title[^>]*>(.*?)</title>", page, re.I | re.S)
-    book.title = words(system.get(3, b"")) or (" ".join(html.unescape(titled[1]).split()) if titled else "")
+    book.title = words(system.get(3, b"")) or (" ".join(html.unescape(titled[1]).split()) if titled else "") or next((t for path, t in listed if path == start and t), "")
     metas = {k.lower(): html.unescape(a or b).strip() for k, a, b in _META.findall(page)}
     book.authors = [x for v in (metas.get("author", ""),) for y in v.split(";") if (x := y.strip())]
     book.description = metas.get("description", "")

@@ -233,6 +233,15 @@ def chm(pages=None):
         "::DataSpace/Storage/MSCompressed/Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable": struct.pack("<IIIIQQQQ", 2, 1, 8, 40, len(content), len(packed), 0x8000, 0),
         "/#SYSTEM": struct.pack("<I", 3) + b"".join(struct.pack("<HH", k, len(v)) + v for k, v in ((2, b"a.htm\0"), (3, b"Help\0"), (4, struct.pack("<I", 0x409)))),
     }
+    if not any(n.endswith(".hhc") for n in pages):
+        paths = [n.lstrip("/") for n in pages]
+        strings = b"\0Second\0First\0"
+        plain["/#STRINGS"] = strings
+        plain["/#URLSTR"] = b"".join(bytes(8) + p.encode() + b"\0" for p in paths)
+        starts = [sum(9 + len(p) for p in paths[:i]) for i in range(len(paths))]
+        plain["/#URLTBL"] = b"".join(struct.pack("<III", 0, i, s) for i, s in enumerate(starts))
+        plain["/#TOPICS"] = b"".join(struct.pack("<IIIHH", 0, t, 12 * i, 6, 0) for i, t in ((1, 1), (0, 8), (1, 1)))
+        plain["/#SYSTEM"] = struct.pack("<I", 3) + struct.pack("<HH", 2, 6) + b"a.htm\0"
     store = b""
     for name, data in plain.items():
         entries.append((name, 0, len(store), len(data)))

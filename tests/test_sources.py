@@ -89,6 +89,8 @@ def test_lrf_and_help():
     help_ = parse(BOOKS["chm"])
     assert (help_.title, help_.authors, help_.languages, help_.version) == ("Help", ["A", "B"], ["en"], "3")
     assert [r.name for r, _ in help_.order] == ["b.htm", "a.htm"]
+    bare = parse(b.chm({"/a.htm": b"<p>One</p>", "/b.htm": b"<p>Two</p>"}))
+    assert [r.name for r, _ in bare.order] == ["b.htm", "a.htm"] and bare.title == "First"
 
 
 def test_decoders():
