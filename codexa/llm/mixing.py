@@ -109,3 +109,28 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     light = settle(docs.select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"), n_words().alias("size")))
     rows = mix(light, size=F.col("size"), **PRODUCTION)
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# For tables in which no source has over CHUNK rows (a source is then one chunk) and doc_id is a key.
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, s, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w FROM sources
+), filled AS (
+  SELECT *, 1.5::DOUBLE * sum(s) OVER () - coalesce(sum(2.0::DOUBLE * s) OVER stopped, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER stopped, 0) AS open_w,
+    row_number() OVER (ORDER BY 2.0::DOUBLE * s / w, source) AS k
+  FROM weighed WINDOW stopped AS (ORDER BY 2.0::DOUBLE * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT min(k) AS k, min_by(rest, k) AS rest, min_by(open_w, k) AS open_w FROM filled WHERE rest * w / open_w <= 2.0::DOUBLE * s
+), wanted AS (
+  SELECT f.source, f.s, CASE WHEN l.k IS NULL OR f.k < l.k THEN 2.0::DOUBLE * f.s ELSE l.rest * f.w / l.open_w END AS target FROM filled f, level l
+), ranked AS (
+  SELECT z.doc_id, z.size, w.s, w.target, w.target / w.s AS rate, row_number() OVER (PARTITION BY z.source ORDER BY z.size, z.doc_id) AS r,
+    CAST('0x' || substr(sha256(coalesce('(0, ''' || z.source || ''')', '(0, None)')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS o
+  FROM sized z JOIN wanted w ON z.source IS NOT DISTINCT FROM w.source
+)
+SELECT doc_id, size, s AS source_size, target, CAST(coalesce(floor(r * rate + o) - floor((r - 1) * rate + o), 0) AS BIGINT) * size AS taken FROM ranked
+"""

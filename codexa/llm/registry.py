@@ -12,7 +12,7 @@ from codexa.llm.html_extract import OP9_SQL, op9_html
 from codexa.llm.language_id import op4_language_id
 from codexa.llm.line_dedup import OP8_SQL, op8_line_dedup
 from codexa.llm.media import op7_media
-from codexa.llm.mixing import op1_mix_sources
+from codexa.llm.mixing import OP1_SQL, op1_mix_sources
 from codexa.llm.pii import op5_pii
 from codexa.llm.quality_rules import op2_quality_rules
 from codexa.llm.simhash_dedup import op6_simhash
@@ -38,4 +38,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_html": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_line_dedup": OP8_SQL, "op9_html": OP9_SQL}
