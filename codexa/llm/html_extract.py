@@ -100,15 +100,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = open_ + 1
 
 
-def _outside(name: str, mark: str) -> bool:
-    """Whether an element is said to be no article text."""
+def _outside(name: str, mark: str, article: bool) -> bool:
+    """Whether an element is said to be no article text; an article's own header is."""
     if name in ASIDE:
         return True
     for key, value in _MARK.findall(mark):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if key in ("class", "id", "role", "aria-label") and not OUTSIDE.isdisjoint(_WORD.findall(value)):
+        if key in ("class", "id", "role", "aria-label") and any(w in OUTSIDE and not (article and w == "header") for w in _WORD.findall(value)):
             return True
     return False
 
@@ -140,7 +140,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if name in VOID or name not in CONTAINERS or mark.endswith("/>"):
                 continue
             state = 4 if name == "a" else 0
-            if _outside(name, mark) or (name == "header" and not article):
+            if _outside(name, mark, bool(article)) or (name == "header" and not article):
                 if name in INLINE:
                     flush()
                 state |= 1

@@ -28,6 +28,7 @@ def squashed(*parts):
         ("<article><p>x&nbsp; y\n z</p><p hidden>no</p><script>s", "x y z"),
         ('<div class="ad">buy <article>kept</article>', "kept"),
         ("<article>" + "<div>" * 5000 + "deep", "deep"),
+        ('<div class="site-header">Site</div><article><header><h1>Head</h1></header><div class="entry-header">By me</div><p>x</article>', "Head By me x"),
     ],
 )
 def test_main_text(page, text):
