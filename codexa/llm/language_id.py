@@ -236,13 +236,12 @@ def train(docs: DataFrame, sample: dict = SAMPLE, seed: int = 0) -> Model:
     The sample is bounded by `sample`: about that many documents of a language, picked by a hash of
     their id over the whole table, none longer than its bytes.
     """
-    spark = docs.sparkSession
     usable = docs.where(~held_out() & F.col("lang").isNotNull())
     counts = usable.groupBy("lang").count().collect()  # one row for each language
     if not counts:
         return fit({}, seed)
-    every = spark.createDataFrame([(r["lang"], max(1, r["count"] // sample["docs"])) for r in counts], "language string, every long")
-    picked = usable.join(every, F.col("lang") == F.col("language")).where((F.pmod(F.xxhash64("doc_id", F.lit(seed)), "every") == 0) & (F.octet_length("text") <= sample["bytes"]))
+    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // sample["docs"]))])
+    picked = usable.where((F.pmod(F.xxhash64("doc_id", F.lit(seed)), every[F.col("lang")]) == 0) & (F.octet_length("text") <= sample["bytes"]))
     rows = picked.select("doc_id", "lang", "text").limit(2 * sample["docs"] * len(counts)).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (str(r.doc_id), r.text)):
