@@ -5,8 +5,8 @@ skipped and never removed. Windows that occur more than once anywhere are found
 by their 128-bit hash; every line that a later occurrence covers goes. The first
 occurrence is the one of smallest (doc_id, text hash, position). Only hashes and
 positions are shuffled to find them; the count is a partial aggregate, so a
-window that stands in a third of all documents is no hot key, and the join back
-may be split by adaptive execution.
+window that stands in a third of all documents is no hot key, and the joins back
+are between settled tables, which adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -63,9 +63,9 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = dict(keyed.dtypes)["doc_id"]
     schema = f"h1 long, h2 long, doc_id {kind}, text_key long, at int"
     windows = keyed.mapInArrow(part(_windows, window=window), schema)
-    counts = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    counts = settle(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
     repeated = settle(windows.join(counts, ["h1", "h2"], "left_semi"))
-    first = repeated.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first"))
+    first = settle(repeated.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first")))
     later = repeated.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
 
