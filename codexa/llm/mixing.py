@@ -23,7 +23,7 @@ from codexa.llm.common import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one task puts in order, about.
-CHUNK = 20_000
+CHUNK = 4_000
 
 
 def n_words(text: str = "text") -> Column:
