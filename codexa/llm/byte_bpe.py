@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import BATCH_BYTES, part
+from codexa.llm.common import BATCH_BYTES, bounded, part, release
 
 #: Text of one block, in bytes.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 #: Encoded words that a task remembers; beyond that it starts afresh (and may encode a word again).
 REMEMBERED = 1_000_000
 
@@ -133,6 +133,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, side: str, limit: i
             if block.size >= limit:
                 yield from out()
                 block = _Block()
+                release()
     if block.docs:
         yield from out()
 
@@ -276,7 +277,7 @@ def encode(docs: DataFrame, path: str, pattern: str, emit: Callable = emit_ids,
     One row for each input row, repeated rows and null ids included; a null or empty text has no
     ids. `emit` and `schema` choose what a row holds: emit_ids, or emit_digests, which also decodes.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     ranks = spark.sparkContext.broadcast(_Ranks(path, read_ranks(path)))  # a vocabulary: of fixed size
     kind = dict(docs.dtypes)["doc_id"]
     cut = docs.select("doc_id", pre_tokens(F.col("text"), pattern).alias("words"))

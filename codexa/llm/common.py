@@ -27,9 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch; Spark's defaults hold tens of MB of text twice, in the JVM and in Python.
+ARROW_ROWS, ARROW_BYTES = 1_000, 4_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table; its session's Arrow batches are made smaller if they still have Spark's default size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
+def release() -> None:
+    """Give memory that Arrow holds in reserve back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and reread it: computed once, lineage cut, safe when executors go."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

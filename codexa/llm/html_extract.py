@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import part, pieces
+from codexa.llm.common import bounded, part, pieces
 
 WINDOW = 3
 #: Sum of a window at which text begins, and at or below which it ends.
@@ -205,7 +205,7 @@ def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
     Null, empty and broken pages give what text they have, at least the empty one.
     """
     rest = [c for c in pages.columns if c != "html"]
-    rows = pages.select(F.struct(*rest).alias("row"), "html")
+    rows = bounded(pages).select(F.struct(*rest).alias("row"), "html")
     return rows.mapInArrow(part(_extract, window=window), f"row {dict(rows.dtypes)['row']}, text string, n_chars long")
 
 

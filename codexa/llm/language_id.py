@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import part, pieces
+from codexa.llm.common import bounded, part, pieces, release
 
 HASHED = 1 << 17
 NGRAMS = (1, 2, 3, 4, 5)
@@ -33,6 +33,8 @@ STEP = 64
 #: The bounded training sample: documents of a language (about), longest document, words of a document, words of a sequence, sequences.
 SAMPLE = {"docs": 300, "bytes": 20_000, "words": 160, "length": 32, "sequences": 2_400}
 ROUNDS = 40
+#: Text labelled at once, in bytes.
+BATCH = 2_000_000
 UNKNOWN = "und"
 
 
@@ -265,7 +267,7 @@ def _batch_marginals(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndar
 
 def _predict(batches: Iterator[pa.RecordBatch], model, words: bool) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", BATCH):
         owner, numbers, vocabulary, _ = _batch_marginals(batch.column("text"), m)
         n, width = batch.num_rows, max(1, len(m.labels))
         lengths = np.bincount(owner, minlength=n)
@@ -285,6 +287,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, words: bool) -> Iterator[
             out += [pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(numbers)).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(names[p.argmax(axis=1)] if len(m.labels) else names[[0] * len(owner)], pa.string()))]
             fields += ["words", "word_langs"]
         yield pa.RecordBatch.from_arrays(out, fields)
+        release()
 
 
 def predict(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
@@ -295,7 +298,7 @@ def predict(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     more = ", words array<string>, word_langs array<string>" if words else ""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs).sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(part(_predict, model=sent, words=words), f"doc_id {kind}, lang_pred string, score double{more}")
 
 

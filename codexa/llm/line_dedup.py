@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import as_bytes, part, pieces, settle, text_key
+from codexa.llm.common import as_bytes, bounded, part, pieces, settle, text_key
 
 WINDOW = 3
 BLANK = b" \t\n\x0b\x0c\r"
@@ -59,7 +59,7 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     starts counts lines that have a word. Documents without any have no row. Rows equal in doc_id and
     text are one document. Null and empty texts have no window.
     """
-    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
+    keyed = bounded(docs).select("doc_id", "text", text_key().alias("text_key"))
     kind = dict(keyed.dtypes)["doc_id"]
     schema = f"h1 long, h2 long, doc_id {kind}, text_key long, at int"
     windows = keyed.mapInArrow(part(_windows, window=window), schema)

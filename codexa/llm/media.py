@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import as_bytes, part, pieces
+from codexa.llm.common import as_bytes, bounded, part, pieces
 
 # Box types that hold boxes.
 NESTED = (b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"moof", b"traf", b"mvex", b"udta")
@@ -271,6 +271,6 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op7_media(spark, sf_dir: str) -> DataFrame:
     """Every document stored in a container and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.mapInArrow(
+    return bounded(docs).mapInArrow(
         _store, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
