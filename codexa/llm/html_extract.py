@@ -5,8 +5,10 @@ characters as it has outside links, and none where the markup itself says that
 it is no article text (menus, forms, notices, adverts, comments ...). Weights
 are summed over sliding windows of lines; text begins where the sum surges over
 a threshold and ends where it dives, and what lies between is kept, without the
-lines that the markup rules out. Where a page marks its article, the lines in it
-carry a bonus, so that a short paragraph is no dive, and the others none.
+lines that the markup rules out. Lines in an article element weigh some more, by
+their share of text outside links, so that a short paragraph is no dive but a
+list of links is; a window ends at the element's edges. All stretches of a page
+compete, so that a heavy one outside wins over a light article element.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ WINDOW = 3
 SURGE, DIVE = 80, 12
 #: A stretch is kept if it weighs this share of the heaviest one.
 SHARE = 0.25
-BONUS = 200
+#: What a line in an article element weighs besides its text.
+BONUS = 30
 
 # Elements by what they do.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
@@ -167,29 +170,38 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The article's text, its blocks joined by one space; empty if there is none."""
     found = lines(page or "")
-    marked = any(a and not o for _, _, o, a in found)
-    weights = [0 if o or (marked and not a) else len(t) - k + (BONUS if marked else 0) for t, k, o, a in found]
-    shown = [i for i, (_, _, o, _) in enumerate(found) if not o]
-    if not any(weights):
+    # windows run over the lines that the markup does not rule out, in or out of an article element
+    shown = [x for x in found if not x[2]]
+    run = [len(t) - k + (max(1, BONUS * (len(t) - k) // len(t)) if a else 0) for t, k, _, a in shown]
+    if not any(run):
         return ""
-    # windows run over the lines that the markup does not rule out
-    run = [weights[i] for i in shown]
-    sums = [sum(run[i : i + window]) for i in range(len(run))]
+    edges = [i for i in range(len(shown)) if not i or shown[i][3] != shown[i - 1][3]] + [len(shown)]
     stretches: list[tuple[int, int]] = []
-    begin = None
-    for i, total in enumerate(sums):
-        if begin is None and run[i] and total > SURGE:
-            begin = i
-        elif begin is not None and (total <= DIVE or not run[i] and marked):
-            stretches.append((begin, i))
-            begin = None
-    if begin is not None:
-        stretches.append((begin, len(run)))
-    if not stretches:  # a page of a few short lines: the heaviest window
-        best = max(range(len(run)), key=sums.__getitem__)
-        stretches = [(best, min(len(run), best + window))]
-    heavy = max(sum(run[a:b]) for a, b in stretches)
-    return " ".join(found[shown[i]][0] for a, b in stretches if marked or sum(run[a:b]) >= SHARE * heavy for i in range(a, b) if run[i])
+    light: list[tuple[int, int]] = []  # article elements with some text and no surge
+    best = (0, 0, 0)
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        begin, known = None, len(stretches)
+        for i in range(first, last):
+            total = sum(run[i : min(last, i + window)])
+            if total > best[0]:
+                best = total, i, min(last, i + window)
+            if begin is None and run[i] and total > SURGE:
+                begin = i
+            elif begin is not None and total <= DIVE:
+                stretches.append((begin, i))
+                begin = None
+        if begin is not None:
+            stretches.append((begin, last))
+        if shown[first][3] and len(stretches) == known and sum(run[first:last]) > DIVE:
+            light.append((first, last))
+    # a page of a few short lines: the heaviest window
+    weighed = [(sum(run[a:b]), a, b) for a, b in stretches or [best[1:]]]
+    heavy, at, _ = max(weighed, key=lambda x: x[0])
+    article = shown[at][3]  # an article element holds the heaviest stretch: then what else is in one stays too
+    kept = [(a, b) for w, a, b in weighed if w >= SHARE * heavy or (article and shown[a][3])]
+    if article and stretches:
+        kept = sorted(kept + light)
+    return " ".join(shown[i][0] for a, b in kept for i in range(a, b) if run[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

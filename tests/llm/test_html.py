@@ -39,3 +39,20 @@ def test_extract_keeps_a_row_for_each_page(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, None), (2, None, None, None)], "page_id int, url string, html string, text string")
     got = extract(pages).collect()
     assert len(got) == 3 and {r.n_chars for r in got} == {0, len(main_text(PAGE))} and {r.row.text for r in got} == {"t", None}
+
+
+CARDS = '<article><h3>Teaser</h3></article>'
+LINKS = "<ul>" + "".join(f"<li><a href=x>Read story number {i} here</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div id=content><h1>Big</h1><p>{LONG}</p><p>{MORE}</p></div>{CARDS * 2}</body>", squashed("Big", LONG, MORE)),
+        (f"<body>{CARDS}<div id=content><p>{LONG}</p><p>{MORE}</p></div></body>", squashed(LONG, MORE)),
+        (f"<article><h2><a href=x>Head</a></h2><p>{LONG}</p><p>no.</p><p>so.</p><p>go.</p><p>{MORE}</p>{LINKS}</article>", squashed("Head", LONG, "no. so. go.", MORE)),
+        (f"<p>Tagline</p><article><p>{LONG}</p></article><p>Made by hand</p><article><p>Short note</p></article>", squashed(LONG, "Short note")),
+    ],
+)
+def test_stretches_compete_in_and_out_of_an_article_element(page, text):
+    assert main_text(page) == text
