@@ -51,8 +51,13 @@ OUTSIDE = {
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
-_MARK = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Words that, beside one of these in the same token, say that something is there or not, as in has-sidebar.
+STATE = {"has", "have", "no", "not", "with", "without", "hide", "show", "open", "closed", "enabled", "disabled"}
+
+#: An attribute: its name and, if it has one, its value; the next one begins after the value.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -103,31 +108,49 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = open_ + 1
 
 
-def _outside(name: str, mark: str, article: bool) -> bool:
-    """Whether an element is said to be no article text; an article's own header is."""
+def _outside(name: str, mark: str, article: bool) -> int:
+    """1 if an element is said to be no article text, 2 if only a word of a compound class, id or label says so, else 0.
+
+    An article's own header is article text.
+    """
     if name in ASIDE:
-        return True
-    for key, value in _MARK.findall(mark):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if key in ("class", "id", "role", "aria-label") and any(w in OUTSIDE and not (article and w == "header") for w in _WORD.findall(value)):
-            return True
-    return False
+        return 1
+    found: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(mark):
+        if value[:1] in ("'", '"') and value[-1:] == value[0] and len(value) > 1:
+            value = value[1:-1]
+        found.setdefault(key.lower(), html.unescape(value).lower())  # the first of a name holds
+    if "hidden" in found or _NONE.search(found.get("style", "")):
+        return 1
+    ruled = OUTSIDE - {"header"} if article else OUTSIDE
+    out = 0
+    for key in ("class", "id", "role", "aria-label"):
+        value = found.get(key, "")
+        for token in value.split() if key != "aria-label" else [value.strip()]:
+            if token in ruled:
+                return 1
+            words = ["", *_WORD.findall(token), ""]
+            if any(w in ruled and words[i] not in STATE and words[i + 2] not in STATE for i, w in enumerate(words[1:-1])):
+                out = 2
+    return out
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside, in an article) of each line that has text."""
-    out: list[tuple[str, int, bool, bool]] = []
+    """(text, characters in links, outside, in an article) of each line that has text.
+
+    An element that only a word of a compound name rules out is kept if over half of the text is in it.
+    """
+    out: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # name; 1: outside, 2: article, 4: link
-    linked = outside = article = links = 0
+    stack: list[tuple[str, int, int]] = []  # name; 1: outside, 2: article, 4: link; the number of a doubtful element
+    linked = outside = article = links = doubt = 0
+    above = [0]  # the doubtful element around each
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, min(linked, len(text)), bool(outside), bool(article)))
+            out.append((text, min(linked, len(text)), outside, bool(article), doubt))
         parts.clear()
         linked = 0
 
@@ -143,28 +166,45 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if name in VOID or name not in CONTAINERS or mark.endswith("/>"):
                 continue
             state = 4 if name == "a" else 0
-            if _outside(name, mark, bool(article)) or (name == "header" and not article):
-                if name in INLINE:
-                    flush()
+            number = 0
+            said = 1 if name == "header" and not article else _outside(name, mark, bool(article))
+            if said and name in INLINE:
+                flush()
+            if said == 1:
                 state |= 1
-            elif name in ARTICLE:
+            elif said:
+                above.append(doubt)
+                doubt = number = len(above) - 1
+            if name in ARTICLE and said != 1:
                 state |= 2
-                if outside and all(n == "div" for n, s in stack if s & 1):
+                if outside and all(n == "div" for n, s, _ in stack if s & 1):
                     # a notice that was never closed does not swallow the article
-                    stack = [(n, s & ~1) for n, s in stack]
+                    stack = [(n, s & ~1, d) for n, s, d in stack]
                     outside = 0
-            stack.append((name, state))
+                if doubt and not number and all(n == "div" for n, _, d in stack if d):
+                    stack = [(n, s, 0) for n, s, _ in stack]
+                    doubt = 0
+            stack.append((name, state, number))
             outside, article, links = outside + (state & 1), article + (state >> 1 & 1), links + (state >> 2)
-        elif any(n == name for n, _ in reversed(stack)):
+        elif any(n == name for n, _, _ in reversed(stack)):
             while True:
-                last, state = stack.pop()
-                if state & 1 and last in INLINE:
+                last, state, number = stack.pop()
+                if (state & 1 or number) and last in INLINE:
                     flush()
+                doubt = above[number] if number else doubt
                 outside, article, links = outside - (state & 1), article - (state >> 1 & 1), links - (state >> 2)
                 if last == name:
                     break
     flush()
-    return out
+    held = [0] * len(above)
+    for text, k, o, _, d in out:
+        held[d] += 0 if o else len(text) - k
+    for d in range(len(above) - 1, 0, -1):
+        held[above[d]] += held[d]
+    ruled = [False] * len(above)
+    for d in range(1, len(above)):
+        ruled[d] = ruled[above[d]] or 2 * held[d] <= held[0]
+    return [(text, k, bool(o) or ruled[d], a) for text, k, o, a, d in out]
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
@@ -187,7 +227,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
                 best = total, i, min(last, i + window)
             if begin is None and run[i] and total > SURGE:
                 begin = i
-            elif begin is not None and total <= DIVE:
+            elif begin is not None and total <= DIVE and (i + window <= last or not shown[i][3]):  # a last link or two end no article
                 stretches.append((begin, i))
                 begin = None
         if begin is not None:

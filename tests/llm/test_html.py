@@ -56,3 +56,20 @@ LINKS = "<ul>" + "".join(f"<li><a href=x>Read story number {i} here</a></li>" fo
 )
 def test_stretches_compete_in_and_out_of_an_article_element(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p>{LONG}</p><p><a href="/hidden-valley" title="The hidden truth">{MORE}</a> is it</p></article>', squashed(LONG, MORE, "is it")),
+        (f'<article><p>{LONG}</p><div title="The hidden truth" data-style="display:none" aria-hidden="false">{MORE}</div></article>', squashed(LONG, MORE)),
+        (f'<article><p>{LONG}</p><p><a href="/q?id=search">{MORE}</a> is it</p></article>', squashed(LONG, MORE, "is it")),
+        (f'<div class="page has-sidebar"><p>{LONG}</p></div><div class=no-sidebar><p>{MORE}</p></div>', squashed(LONG, MORE)),
+        (f'<article><p>{LONG}</p><div class="col content-with-sidebar">{MORE}</div></article>', squashed(LONG, MORE)),
+        (f'<div id="layout_sidebar_left"><p>{LONG}</p><div class="comment-list">No</div><p>{MORE}</p></div><div class="sidebar">{LONG}</div>', squashed(LONG, MORE)),
+        (f'<article><p>{LONG}</p><div class="x sidebar">{MORE}</div><div CLASS=share-bar>No</div><p HIDDEN>no</p><p style="color:red; DISPLAY : none">no</p></article>', squashed(LONG)),
+        (f'<div class="cookie-notice">Ok <article><p>{LONG}</p></article>', squashed(LONG)),
+    ],
+)
+def test_attributes_are_read_one_by_one(page, text):
+    assert main_text(page) == text
