@@ -266,7 +266,12 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, budget: in
     The row of doc_id component_id stays; where several have that id (or none has one), the one of
     smallest text hash, and one only of rows equal in both.
     """
-    found = _labelled(docs, words, seed, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_of(docs, _labelled(docs, words, seed, budget))
+
+
+def first_of(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents, one row of each root of labelled(doc_id, text_key, root, component_id), picked as in keep_one."""
+    found = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     kept = settle(first.select("doc_id", "text_key", "n"))
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), text_key().alias("text_key"))

@@ -11,7 +11,8 @@ from codexa.llm.common import settle
 from codexa.llm.language_id import accepted
 from codexa.llm.line_dedup import without_repeated
 from codexa.llm.mixing import PRODUCTION, mixed
-from codexa.llm.simhash_dedup import keep_one
+from codexa.llm.near_copies import labelled
+from codexa.llm.simhash_dedup import first_of
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates by SimHash the one of smallest doc_id stays."""
-    return keep_one(docs)
+    """Of documents whose shingles of five words have a Jaccard similarity of 0.8 or more, also by way of others, the one of smallest doc_id stays."""
+    return first_of(docs, labelled(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
