@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.llm.common import bounded, part, pieces, release
@@ -30,7 +30,7 @@ from codexa.llm.common import bounded, part, pieces, release
 HASHED = 1 << 17
 NGRAMS = (1, 2, 3, 4, 5)
 STEP = 64
-#: The bounded training sample: documents of a language (about), longest document, words of a document, words of a sequence, sequences.
+#: The bounded training sample: documents of a language (about), longest passage in bytes, words of a document, words of a sequence, sequences.
 SAMPLE = {"docs": 300, "bytes": 20_000, "words": 160, "length": 32, "sequences": 2_400}
 ROUNDS = 40
 #: Text labelled at once, in bytes.
@@ -233,23 +233,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, sample: dict = SAMPLE, seed: int = 0) -> Model:
-    """Learn from documents(doc_id, text, lang) that are not held out and have a lang.
+    """Learn from documents(doc_id, text, lang) that are not held out and have a lang and a letter.
 
-    The sample is bounded by `sample`: about that many documents of a language, picked by a hash of
-    their id over the whole table, none longer than its bytes.
+    The sample is bounded by `sample`: of each language about that many distinct documents, picked
+    by a hash of id and text over the whole table; of a longer text a passage of at most its bytes,
+    from a place that the hash gives. Same rows, same sample, in any order and partitioning.
     """
-    usable = docs.where(~held_out() & F.col("lang").isNotNull())
-    counts = usable.groupBy("lang").count().collect()  # one row for each language
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashed = usable.select("lang", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("hash"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()  # one row for each language
     if not counts:
         return fit({}, seed)
-    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // sample["docs"]))])
-    picked = usable.where((F.pmod(F.xxhash64("doc_id", F.lit(seed)), every[F.col("lang")]) == 0) & (F.octet_length("text") <= sample["bytes"]))
-    rows = picked.select("doc_id", "lang", "text").limit(2 * sample["docs"] * len(counts)).collect()
+    # twice as many as are wanted, of which the first of each language stay
+    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["n"] // (2 * sample["docs"])))])
+    picked = hashed.where(F.pmod("hash", every[F.col("lang")]) == 0)
+    size = max(1, sample["bytes"] // 4)  # characters that never have more bytes
+    at = F.pmod(F.xxhash64("hash"), F.greatest(F.lit(1), F.char_length("text") - size + 1)).cast("int") + 1
+    passage = F.when(F.octet_length("text") <= sample["bytes"], F.col("text")).otherwise(F.substring("text", at, F.lit(size)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    rows = picked.select("lang", "hash", passage.alias("text")).dropDuplicates(["lang", "hash"]).withColumn("rank", rank).where(F.col("rank") <= sample["docs"]).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (str(r.doc_id), r.text)):
-        own = texts.setdefault(r.lang, [])
-        if len(own) < sample["docs"]:
-            own.append(r.text)
+    for r in sorted(rows, key=lambda r: (r.lang, r.rank)):
+        texts.setdefault(r.lang, []).append(r.text)
     return fit(texts, seed, length=sample["length"], words=sample["words"], count=sample["sequences"])
 
 

@@ -1,7 +1,9 @@
 import itertools
+import random
 
 import numpy as np
-from codexa.llm.language_id import accepted, fit, held_out, marginals, predict, train
+from codexa.llm import language_id
+from codexa.llm.language_id import SAMPLE, accepted, fit, held_out, marginals, predict, train
 
 
 def test_forward_backward_equals_enumeration():
@@ -40,3 +42,24 @@ def test_rejected_ones_go_and_nothing_learned_gives_und(corpus, nothing):
     assert accepted(nothing).count() == 0
     model = train(corpus.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in predict(corpus, model).collect()} == {"und"}
+
+
+def test_sample_covers_long_documents_and_repeated_ids(spark):
+    draw = random.Random(1)
+    pools = {"en": "the of and that with water light".split(), "de": "der die und nicht straße häuser größer".split(), "fr": "le la les des une être maison".split()}
+    text = {k: lambda n, k=k: " ".join(draw.choice(pools[k]) for _ in range(n)) for k in pools}
+    rows = [(None, text["en"](30), "en") for _ in range(4_000)]  # one id for all, and far over the limit
+    rows += [(i, text["de"](6_000), "de") for i in range(40)]  # all longer than a passage
+    rows += [(5_000 + i, text["fr"](6_000 if i % 100 else 30), "fr") for i in range(200)]
+    rows += [(7, "und nicht", "de")] * 3_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = language_id.fit
+    try:
+        language_id.fit = lambda samples, *a, **k: seen.append(samples) or real({}, 0)
+        train(docs.repartition(3)), train(docs.repartition(7, "text"))
+    finally:
+        language_id.fit = real
+    assert seen[0] == seen[1] and {k: len(v) for k, v in seen[0].items() if k == "en"} == {"en": 300}
+    assert len(seen[0]["de"]) >= 25 and len(seen[0]["fr"]) > 120
+    assert all(len(t.encode()) <= SAMPLE["bytes"] for v in seen[0].values() for t in v)
