@@ -36,6 +36,8 @@ ROUNDS = 40
 #: Text labelled at once, in bytes.
 BATCH = 2_000_000
 UNKNOWN = "und"
+#: Mean probability that a document's language must have, for the document to be accepted.
+LEAST = 0.5
 
 
 @dataclass
@@ -313,9 +315,17 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that have a language, columns as they were; `und` ones go."""
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents that have a language, columns as they were.
+
+    One without a letter goes, and one whose language has less than `least` of its words' probability:
+    noise, or a mix of which no language is a half. Where nothing could be learned, there is no verdict and
+    every document with a letter stays.
+    """
     model = train(docs)
     names = docs.columns
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     packed = docs.select(F.struct("*").alias("doc_id"), "text")
-    return predict(packed, model).where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"doc_id.`{c}`").alias(c) for c in names])
+    kept = predict(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in names])

@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or no text) go."""
+    """Documents without a language go: no letter, or no language with half of the words' probability."""
     return accepted(docs)
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from codexa.llm import language_id
 from codexa.llm.language_id import SAMPLE, accepted, fit, held_out, marginals, predict, train
+from pyspark.sql import functions as F
 
 
 def test_forward_backward_equals_enumeration():
@@ -63,3 +64,22 @@ def test_sample_covers_long_documents_and_repeated_ids(spark):
     assert seen[0] == seen[1] and {k: len(v) for k, v in seen[0].items() if k == "en"} == {"en": 300}
     assert len(seen[0]["de"]) >= 25 and len(seen[0]["fr"]) > 120
     assert all(len(t.encode()) <= SAMPLE["bytes"] for v in seen[0].values() for t in v)
+
+
+def test_the_score_decides_and_nothing_learned_drops_no_text(corpus):
+    model = train(corpus)
+    verdict = predict(corpus.selectExpr("count doc_id", "text"), model).collect()
+    bound = sorted(r.score for r in verdict if r.lang_pred != "und")[len(verdict) // 3]
+    kept = {r["count"] for r in accepted(corpus, least=bound).collect()}
+    assert kept == {r.doc_id for r in verdict if r.lang_pred != "und" and r.score >= bound} and 0 < len(kept) < len(verdict) - 5
+    plain = corpus.withColumn("lang", F.lit(None).cast("string"))
+    lettered = {r["count"] for r in corpus.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert {r["count"] for r in accepted(plain).collect()} == lettered and accepted(plain).columns == corpus.columns
+
+
+def test_a_mix_without_a_main_language_goes(spark):
+    pools = {"en": "the of and that with", "de": "der die und nicht straße", "fr": "le la des une être", "es": "el los una por que"}
+    rows = [(i, pools[k] + " " + pools[k], k) for k in pools for i in range(40)]
+    mixed = [(1000 + i, " ".join(pools.values()), None) for i in range(4)]
+    ids = {r.doc_id for r in accepted(spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")).collect()}
+    assert ids == set(range(40))
