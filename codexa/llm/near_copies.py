@@ -4,9 +4,8 @@ Each distinct set of shingles gets MinHash values in bands; sets that agree on a
 band are candidates. With 24 bands of 4 a pair of similarity 0.8 misses all of
 them once in 300,000. In a bucket every set is first compared with the smallest,
 which settles a dense group at one comparison a member; only where a bucket is
-then in several components are all pairs between these compared, but for those
-whose signatures agree on too few places to be near. Every link is verified on
-the shingles themselves.
+is then in several components are the members compared across these, and only
+links that join two of them leave the task. Every link is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -27,10 +26,6 @@ SHINGLE = 5
 #: Links are pairs of this similarity or more, as a fraction.
 LEAST = (4, 5)
 BANDS, WIDTH = 24, 4
-#: Share of equal places below which a pair is not compared: five deviations under 0.8.
-PLAUSIBLE = 0.6
-#: Pairs of signatures compared at once.
-CELLS = 200_000
 
 _SEEDS = np.random.default_rng(SEED).integers(1, 2**64 - 1, size=(2, BANDS * WIDTH), dtype=np.uint64)
 
@@ -49,15 +44,13 @@ def bands(mins: np.ndarray) -> list[int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        marks, keys, sigs = [], [], []
+        marks, keys = [], []
         for text in as_bytes(batch.column("text")):
             hashes = np.unique(shingle_hashes(text, words))
-            mins = signature(hashes)
             marks.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
-            keys.append(bands(mins))
-            sigs.append((mins >> np.uint64(48)).astype(np.uint16).tobytes())
-        out = [batch.column("doc_id"), batch.column("text_key"), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "mark", "bands", "sig"])
+            keys.append(bands(signature(hashes)))
+        out = [batch.column("doc_id"), batch.column("text_key"), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "mark", "bands"])
         release()
 
 
@@ -79,35 +72,50 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, mark) -> plausible pairs (a, b) of a key whose labels differ; the first row was compared already."""
-
-    def pairs(marks, labels, sigs):
-        step = max(1, CELLS // len(marks))
-        for at in range(1, len(marks), step):
-            same = np.zeros((min(step, len(marks) - at), len(marks)), np.uint8)
-            for j in range(sigs.shape[1]):
-                same += sigs[at : at + step, j, None] == sigs[None, :, j]
-            i, j = np.nonzero((same >= PLAUSIBLE * sigs.shape[1]) & (labels[at : at + step, None] != labels[None, :]))
-            ahead = j > i + at
-            yield pa.RecordBatch.from_arrays([pa.array(marks[i[ahead] + at]), pa.array(marks[j[ahead]])], ["a", "b"])
-
-    held: list[tuple] = []
-    key = None
+def _joined(marks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links between rows of different labels that are similar, one at most for each label that they join to another."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    begins = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
+    ends = np.cumsum(sizes)
+    kinds, label, count = np.unique(labels, return_inverse=True, return_counts=True)
+    group = np.arange(len(kinds))
+    a, b = [], []
+    # a pair between two labels has a row that is not of the most frequent one
+    for i in np.flatnonzero(label != count.argmax()).tolist():
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        both = np.zeros(len(sets), np.int64)
+        for s in own.tolist():
+            both[owner[begins[s] : begins[s + 1]]] += 1
+        near = both * LEAST[1] >= (sizes + sizes[i] - both) * LEAST[0]
+        for j in np.flatnonzero(near & (group[label] != group[label[i]])).tolist():
+            if group[label[j]] != group[label[i]]:
+                group[group == group[label[j]]] = group[label[i]]
+                a.append(marks[i])
+                b.append(marks[j])
+    return a, b
+
+
+def _between(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, mark, label, text) sorted by key -> verified links (a, b) that connect what is linked within a key, beyond its labels."""
+
+    def links(rows):
+        a, b = _joined(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held, key = [], None
     for batch in batches:
-        keys, marks, labels = (batch.column(c).to_numpy() for c in ("key", "mark", "label"))
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(keys), -1)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            if x == y:
-                continue
-            if held and keys[x] != key:
-                yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        columns = (batch.column(c).to_pylist() for c in ("key", "mark", "label"))
+        for k, mark, label, text in zip(*columns, as_bytes(batch.column("text")), strict=True):
+            if k != key and held:
+                yield links(held)
                 held = []
-            key = keys[x]
-            held.append((marks[x:y], labels[x:y], sigs[x:y]))
+            key = k
+            held.append((mark, label, np.unique(shingle_hashes(text, words))))
     if held:
-        yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield links(held)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -122,7 +130,7 @@ def labelled(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     empty texts have the empty set. component_id is the smallest doc_id with the root.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(part(_sketches, words=words), f"doc_id {kind}, text_key long, mark long, bands array<long>, sig binary")
+    sketched = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(part(_sketches, words=words), f"doc_id {kind}, text_key long, mark long, bands array<long>")
     rows = settle(sketched)
     dealt = rows.select("mark", F.explode("bands").alias("key"))
     leaders = dealt.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a < z").select("key", "a")
@@ -135,11 +143,11 @@ def labelled(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     roots = settle(components(links))
     named = settle(met.join(roots, met["mark"] == roots["node"], "left").select("key", "mark", F.coalesce("root", "mark").alias("label")))
     several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    sigs = rows.join(near, "mark", "left_semi").select("mark", "sig").dropDuplicates(["mark"])
-    open_ = settle(named.join(several, "key", "left_semi").join(sigs, "mark").select("key", "mark", "label", "sig"))
+    open_ = settle(named.join(several, "key", "left_semi"))
     if not open_.isEmpty():
-        between = open_.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(_between, "a long, b long")
-        roots = settle(components(links.union(_links(between, texts, words))))
+        between = open_.join(texts, "mark").select("key", "mark", "label", "text").repartition("key").sortWithinPartitions("key", "mark")
+        more = between.mapInArrow(part(_between, words=words), "a long, b long")
+        roots = settle(components(links.union(settle(more))))
     kinds = rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
     rooted = settle(kinds.join(roots, kinds["mark"] == roots["node"], "left").select(kinds["mark"], F.coalesce("root", kinds["mark"]).alias("root"), "doc_id"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from codexa.llm.near_copies import labelled, similar
+from codexa.llm.near_copies import _joined, labelled, similar
 from codexa.llm.simhash_dedup import shingle_hashes
 
 
@@ -47,3 +47,17 @@ def test_planted_copies_of_similarity_08_go(spark):
 def test_no_rows(spark):
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert labelled(nothing).count() == 0 and corpus_pipeline.near_duplicates(spark, nothing, "").count() == 0
+
+
+def test_only_links_that_join_labels_leave_a_bucket():
+    draw = np.random.default_rng(0)
+    base = draw.choice(2**62, 100, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, draw.choice(100, 8, replace=False)), draw.choice(2**62, 3).astype(np.uint64)])) for _ in range(60)]
+    a, b = _joined(np.arange(60), np.arange(60), sets)
+    root = list(range(60))
+    for i in range(60):
+        for j in range(60):
+            if similar(sets[i], sets[j]):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    assert len(a) == 60 - len(set(root)) and all(similar(sets[i], sets[j]) for i, j in zip(a, b, strict=True))
