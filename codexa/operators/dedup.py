@@ -60,11 +60,15 @@ def _agree(blocks):
 def minhash_pairs(signatures: DataFrame, bands: int = 16, least: float = 0.8) -> DataFrame:
     """(doc_id, minhash) -> (a, b, jaccard): representatives of equal signatures whose estimate is `least` or more.
 
-    A band is as many hashes in a row; pairs that agree on a band are compared in full.
+    A band is some hashes in a row; pairs that agree on a band are compared in full. There are at least `bands`, and
+    one more than the places in which such a pair may differ, so that it agrees on one of them.
     """
-    classes = signatures.groupBy("minhash").agg(F.min("doc_id").alias("doc_id"))
-    width = F.floor(F.size("minhash") / bands).cast("int")
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("minhash", i * width + 1, width)).alias("h")))
+    classes = signatures.where(F.col("minhash").isNotNull()).groupBy("minhash").agg(F.min("doc_id").alias("doc_id"))
+    size = F.size("minhash")
+    differ = F.floor(size * (1 - least) + 1e-9).cast("int")
+    n = F.greatest(F.lit(1), F.least(size, F.greatest(F.lit(bands), differ + 1)))
+    edge = lambda i: F.floor(i * size / n).cast("int")
+    band = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("minhash", edge(i) + 1, edge(i + 1) - edge(i))).alias("h")))
     keys = classes.select("doc_id", F.explode(band).alias("key"))
     pairs = keys.alias("l").join(keys.alias("r"), "key").where("l.doc_id < r.doc_id").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     one = classes.select(F.col("doc_id").alias("a"), F.col("minhash").alias("x"))

@@ -86,3 +86,13 @@ def test_every_query_is_registered():
     from __spark_entry__ import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 35
+
+
+def test_minhash_pairs_meet_wherever_they_differ(spark):
+    one = list(range(128))
+    rows = [(0, one)]
+    for i, places in enumerate(([*range(0, 125, 5)], [*range(4, 128, 5)], [*range(3, 128, 8), *range(0, 72, 8)], [*range(0, 26)])):
+        rows.append((i + 1, [-1000 * (i + 1) - x if x in places else x for x in one]))
+    got = {tuple(r)[:2]: r.jaccard for r in dedup.minhash_pairs(spark.createDataFrame(rows, "doc_id long, minhash array<long>")).collect()}
+    want = {(i, j): s / 128 for i, x in rows for j, y in rows if i < j and (s := sum(a == b for a, b in zip(x, y, strict=True))) >= 0.8 * 128}
+    assert got == want and len(want) >= 3
