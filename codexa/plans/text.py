@@ -170,7 +170,7 @@ SELECT key, CAST(CASE WHEN core = repeat(core[1], 9) THEN 1
 
 
 def isbn_find(spark, sf):
-    rows = _written(spark, sf).where("key % 7 <> 0")
+    rows = _written(spark, sf)
     text = F.concat(F.lit("Printed in 2001. ISBN "), "isbn13", F.lit(" (hardback), also "), "isbn10", F.lit("; order no. "), F.col("key").cast("string"))
     return rows.select("key", F.array_join(isbn.find_isbns(text), ",").alias("isbns"))
 

@@ -32,3 +32,11 @@ def test_entry_finds_the_flagship(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() == 200
+
+
+def test_isbn_find_covers_every_key(spark):
+    from codexa.plans.text import isbn_check_digits, isbn_find
+
+    got = {r.key: r.isbns for r in isbn_find(spark, FOLDER).collect()}
+    want = {r.key: r.isbn13 for r in isbn_check_digits(spark, FOLDER).collect()}  # the ISBN-10 names the same book
+    assert got.keys() == want.keys() and {k for k in got if got[k] != want[k]} <= {0}  # all zeros are a placeholder
