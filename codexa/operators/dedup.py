@@ -30,9 +30,9 @@ def simhash_classes(marks: DataFrame) -> DataFrame:
 
 
 def simhash_members(marks: DataFrame) -> DataFrame:
-    """(doc_id, simhash) -> (doc_id, class_id, n): each document's representative and the size of its class."""
-    classes = simhash_classes(marks).withColumnRenamed("doc_id", "class_id")
-    return marks.join(classes, "simhash").select("doc_id", "class_id", "n")
+    """(doc_id, simhash) -> (doc_id, class_id, n): each document's representative and the size of its class; no fingerprint is one class."""
+    classes = simhash_classes(marks).select(F.col("simhash").alias("own"), F.col("doc_id").alias("class_id"), "n")
+    return marks.join(classes, F.col("simhash").eqNullSafe(F.col("own"))).select("doc_id", "class_id", "n")
 
 
 def simhash_pairs(marks: DataFrame, distance: int = 3) -> DataFrame:

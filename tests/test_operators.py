@@ -96,3 +96,8 @@ def test_minhash_pairs_meet_wherever_they_differ(spark):
     got = {tuple(r)[:2]: r.jaccard for r in dedup.minhash_pairs(spark.createDataFrame(rows, "doc_id long, minhash array<long>")).collect()}
     want = {(i, j): s / 128 for i, x in rows for j, y in rows if i < j and (s := sum(a == b for a, b in zip(x, y, strict=True))) >= 0.8 * 128}
     assert got == want and len(want) >= 3
+
+
+def test_simhash_members_keep_documents_without_a_fingerprint(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, None), (5, 0)], "doc_id long, simhash long")
+    assert sorted(map(tuple, dedup.simhash_members(rows).collect())) == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 1)]
