@@ -246,9 +246,9 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
     near += [w.lower() for w in _WORD.findall(after)][:1]
     said = len(_FOR[kind].intersection(near)) - len(_AGAINST[kind].intersection(near))
     context = (said > 0) - (said < 0)
-    glued = (before[-1:].isalnum() or after[:1].isalnum()) or before[-1:] in "#$€£/\\" != ""
+    glued = (before[-1:].isalnum() or after[:1].isalnum()) or before.endswith(tuple("#$€£/\\"))
     assigned = kind == "secret" and re.search(r"[:=]\s*[\"']?$", before)
-    neighbours = -1 if glued else 1 if assigned or before[-1:] in ":" != "" else 0
+    neighbours = -1 if glued else 1 if assigned or before.rstrip().endswith(":") else 0
     strict = 1 if base or STRICT[kind].fullmatch(value) else -1
     return (strict, _checksum(kind, value), _gazetteer(kind, value), context, _shape(kind, value), neighbours)
 

@@ -67,7 +67,7 @@ def planted(n, seed):
     def bad():
         return pick(
             [
-                ("version", f"{num(3)}-{num(3)}-{num(4)}"), ("order", num(16)), ("invoice", f"{num(4)} {num(4)} {num(4)} {num(4)}"), ("we met bob at", "noon there"), ("between", "2001-2004 1999"),
+                ("version", f"{num(3)}-{num(3)}-{num(4)}"), ("order", num(16)), ("order", "#" + num(16)), ("invoice", f"{num(4)} {num(4)} {num(4)} {num(4)}"), ("we met bob at", "noon there"), ("between", "2001-2004 1999"),
                 ("commit", hexa(40)), ("sha256", hexa(64)), ("isbn", f"978-3-16-{num(6)}-{num(1)}"), ("date", f"20{num(2)}-{num(2)}-{num(2)}"), ("part", f"{num(3)}-{num(2)}-{num(4)}"),
                 ("file", "some_long_path/of_words/in_a_tree1"), ("uuid", f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}"), ("serial", f"AB{num(2)} {num(4)} {num(4)} {num(4)}"), ("at", "12:30:45"),
                 ("page", f"{num(3)} {num(3)} {num(4)}"), ("model", f"{num(4)}-{num(6)}-{num(5)}"),
