@@ -1,14 +1,14 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is stripped into lines, one for each block of text. A line weighs as many
-characters as it has outside links, and none where the markup itself says that
-it is no article text (menus, forms, notices, adverts, comments ...). Weights
-are summed over sliding windows of lines; text begins where the sum surges over
-a threshold and ends where it dives, and what lies between is kept, without the
-lines that the markup rules out. Lines in an article element weigh some more, by
-their share of text outside links, so that a short paragraph is no dive but a
-list of links is; a window ends at the element's edges. All stretches of a page
-compete, so that a heavy one outside wins over a light article element.
+characters as it has outside links, on every page alike; markup only lowers
+that: a line that it says is no article text (menus, forms, notices, adverts,
+comments ...) is left out, one beside a page's article elements weighs a part.
+Weights are summed over sliding windows of lines; text begins where the sum
+surges over a threshold and ends where it dives, and every stretch between is
+kept. In an article element a short line of plain text is no dive, a run of
+links is; windows end at the element's edges. A heavy stretch outside wins over
+light article elements, such as the cards of other stories.
 """
 
 from __future__ import annotations
@@ -26,13 +26,11 @@ from codexa.llm.common import bounded, part, pieces
 WINDOW = 3
 #: Sum of a window at which text begins, and at or below which it ends.
 SURGE, DIVE = 80, 12
-#: A stretch is kept if it weighs this share of the heaviest one.
-SHARE = 0.25
-#: What a line in an article element weighs besides its text.
-BONUS = 30
+#: What a line beside the page's article elements weighs of its text.
+BESIDE = 0.25
 
 # Elements by what they do.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noembed", "noframes", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby",
@@ -48,6 +46,10 @@ OUTSIDE = {
     "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
 }
+# Of these, the words for readers' comments.
+COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+# Elements that hold or head an article.
+HEADED = {"article", "main", "h1"}
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
@@ -109,9 +111,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _outside(name: str, mark: str, article: bool) -> int:
-    """1 if an element is said to be no article text, 2 if only a word of a compound class, id or label says so, else 0.
+    """1 if an element is no article text; 2 if a class, id or label says so, 3 if only a word of a compound one does; else 0.
 
-    An article's own header is article text.
+    An article's own header is article text. An article element is never a comment by its class alone.
     """
     if name in ASIDE:
         return 1
@@ -128,23 +130,27 @@ def _outside(name: str, mark: str, article: bool) -> int:
         value = found.get(key, "")
         for token in value.split() if key != "aria-label" else [value.strip()]:
             if token in ruled:
-                return 1
+                if token in COMMENTS and name not in ARTICLE:
+                    return 1
+                out = 2
             words = ["", *_WORD.findall(token), ""]
             if any(w in ruled and words[i] not in STATE and words[i + 2] not in STATE for i, w in enumerate(words[1:-1])):
-                out = 2
+                out = out or 3
     return out
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, outside, in an article) of each line that has text.
 
-    An element that only a word of a compound name rules out is kept if over half of the text is in it.
+    An element that a class, id or label rules out is kept if over half of the text is in it: nothing that
+    holds the bulk of a page is a sidebar. If the whole of a name says so, it must also hold an article,
+    main or h1 element or be one.
     """
     out: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, int]] = []  # name; 1: outside, 2: article, 4: link; the number of a doubtful element
     linked = outside = article = links = doubt = 0
-    above = [0]  # the doubtful element around each
+    above, headed = [0], [True]  # for each doubtful element: the one around it, whether it may be kept
 
     def flush() -> None:
         nonlocal linked
@@ -163,6 +169,11 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if name not in INLINE:
             flush()
         if kind == "start":
+            if name in HEADED:
+                d = doubt
+                while d and not headed[d]:
+                    headed[d] = True
+                    d = above[d]
             if name in VOID or name not in CONTAINERS or mark.endswith("/>"):
                 continue
             state = 4 if name == "a" else 0
@@ -174,16 +185,19 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 state |= 1
             elif said:
                 above.append(doubt)
+                headed.append(said == 3 or name in HEADED)
                 doubt = number = len(above) - 1
             if name in ARTICLE and said != 1:
                 state |= 2
+                # a notice that was never closed does not swallow the article
                 if outside and all(n == "div" for n, s, _ in stack if s & 1):
-                    # a notice that was never closed does not swallow the article
                     stack = [(n, s & ~1, d) for n, s, d in stack]
                     outside = 0
-                if doubt and not number and all(n == "div" for n, _, d in stack if d):
+                if doubt and all(n == "div" for n, _, d in stack if d):
                     stack = [(n, s, 0) for n, s, _ in stack]
-                    doubt = 0
+                    doubt = number
+                    if number:
+                        above[number] = 0
             stack.append((name, state, number))
             outside, article, links = outside + (state & 1), article + (state >> 1 & 1), links + (state >> 2)
         elif any(n == name for n, _, _ in reversed(stack)):
@@ -203,16 +217,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         held[above[d]] += held[d]
     ruled = [False] * len(above)
     for d in range(1, len(above)):
-        ruled[d] = ruled[above[d]] or 2 * held[d] <= held[0]
+        ruled[d] = ruled[above[d]] or not headed[d] or 2 * held[d] <= held[0]
     return [(text, k, bool(o) or ruled[d], a) for text, k, o, a, d in out]
 
 
-def main_text(page: str | None, window: int = WINDOW) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> str:
     """The article's text, its blocks joined by one space; empty if there is none."""
-    found = lines(page or "")
-    # windows run over the lines that the markup does not rule out, in or out of an article element
-    shown = [x for x in found if not x[2]]
-    run = [len(t) - k + (max(1, BONUS * (len(t) - k) // len(t)) if a else 0) for t, k, _, a in shown]
+    shown = [x for x in lines(page or "") if not x[2]]  # windows run over the lines that the markup does not rule out
+    run = [len(t) - k for t, k, _, _ in shown]
+    held = sum(r for r, x in zip(run, shown, strict=True) if x[3])
+    if 2 * held > sum(run):  # the article elements hold the bulk
+        run = [r if x[3] else int(BESIDE * r) for r, x in zip(run, shown, strict=True)]
     if not any(run):
         return ""
     edges = [i for i in range(len(shown)) if not i or shown[i][3] != shown[i - 1][3]] + [len(shown)]
@@ -222,43 +237,45 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     for first, last in zip(edges[:-1], edges[1:], strict=True):
         begin, known = None, len(stretches)
         for i in range(first, last):
-            total = sum(run[i : min(last, i + window)])
+            stop = min(last, i + window)
+            total = sum(run[i:stop])
             if total > best[0]:
-                best = total, i, min(last, i + window)
-            if begin is None and run[i] and total > SURGE:
-                begin = i
-            elif begin is not None and total <= DIVE and (i + window <= last or not shown[i][3]):  # a last link or two end no article
-                stretches.append((begin, i))
+                best = total, i, stop
+            inside = shown[i][3]
+            if begin is None and run[i] and total > surge:
+                # an article begins with its first line, or after a run of links; elsewhere the surge shows it
+                begin, floor = i, stretches[-1][1] if len(stretches) > known else first
+                while inside and begin > floor and (begin - floor < window or any(run[begin - window : begin])):
+                    begin -= 1
+            elif begin is not None and total <= dive and not (inside and (any(run[i:stop]) or stop - i < window)):
+                stretches.append((begin, i))  # in an article, a dive is a window of nothing but links
                 begin = None
         if begin is not None:
             stretches.append((begin, last))
-        if shown[first][3] and len(stretches) == known and sum(run[first:last]) > DIVE:
+        if shown[first][3] and len(stretches) == known and any(run[first:last]):
             light.append((first, last))
     # a page of a few short lines: the heaviest window
-    weighed = [(sum(run[a:b]), a, b) for a, b in stretches or [best[1:]]]
-    heavy, at, _ = max(weighed, key=lambda x: x[0])
-    article = shown[at][3]  # an article element holds the heaviest stretch: then what else is in one stays too
-    kept = [(a, b) for w, a, b in weighed if w >= SHARE * heavy or (article and shown[a][3])]
-    if article and stretches:
-        kept = sorted(kept + light)
-    return " ".join(shown[i][0] for a, b in kept for i in range(a, b) if run[i])
+    kept = stretches or [best[1:]]
+    if stretches and shown[max(kept, key=lambda x: sum(run[x[0] : x[1]]))[0]][3]:
+        kept = sorted(kept + light)  # an article element holds the heaviest stretch: then shorter ones stay too
+    return " ".join(shown[i][0] for a, b in kept for i in range(a, b) if shown[i][3] or run[i])
 
 
-def _extract(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int, dive: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        texts = [main_text(page, window) for page in batch.column("html").to_pylist()]
+        texts = [main_text(page, window, surge, dive) for page in batch.column("html").to_pylist()]
         sizes = pa.array(list(map(len, texts)), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), sizes], ["row", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> DataFrame:
     """pages(html, ...) -> (row, text, n_chars), a row for each page; row is the page without its html.
 
     Null, empty and broken pages give what text they have, at least the empty one.
     """
     rest = [c for c in pages.columns if c != "html"]
     rows = bounded(pages).select(F.struct(*rest).alias("row"), "html")
-    return rows.mapInArrow(part(_extract, window=window), f"row {dict(rows.dtypes)['row']}, text string, n_chars long")
+    return rows.mapInArrow(part(_extract, window=window, surge=surge, dive=dive), f"row {dict(rows.dtypes)['row']}, text string, n_chars long")
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:
@@ -267,12 +284,14 @@ def op9_html(spark, sf_dir: str) -> DataFrame:
     return extract(pages).select("row.page_id", "row.url", "text", "n_chars")
 
 
-# Only for pages whose article is one element without blocks that are ruled out, as those of the tables are.
+# Only for pages whose menus, adverts, notes and footers are elements without others of their kind inside, as those of the tables are.
 OP9_SQL = r"""
 WITH cut AS (
-  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>|<aside>.*?</aside>', ' ', 'g') AS c FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(c, '(?s)<[^>]*>', ' ', 'g') AS t FROM cut
 ), plain AS (
-  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM cut
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM bare
 ), spaced AS (
   SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM plain
 )

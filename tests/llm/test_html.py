@@ -1,5 +1,8 @@
+import os
+import re
+
 import pytest
-from codexa.llm.html_extract import extract, main_text
+from codexa.llm.html_extract import OP9_SQL, extract, main_text, op9_html
 
 LONG, MORE = "word " * 60, "other " * 50
 PAGE = f"""<html><head><title>T</title><style>p{{}}</style><script>var a = "</p><p>x";</script></head><body><nav><a href=x>Home</a></nav><!-- <p>no</p> -->
@@ -73,3 +76,52 @@ def test_stretches_compete_in_and_out_of_an_article_element(page, text):
 )
 def test_attributes_are_read_one_by_one(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("kind", ['<div class="page has-sidebar">', '<section class="layout no-sidebar">', '<article class="post tag-search related">', '<div class="promo"><h1>T</h1>', '<body class="search"><main>'])
+def test_no_class_of_a_wrapper_loses_the_article(kind):
+    head = "T " if "<h1>" in kind else ""
+    tail = {"<d": "</div>", "<s": "</section>", "<a": "</article>", "<b": "</main></body>"}[kind[:2]]
+    page = f"<nav><a href=x>Home</a></nav>{kind}<p>{LONG}</p><p>{MORE}</p>{tail}<footer>us</footer>"
+    assert main_text(page) == head + squashed(LONG, MORE)
+
+
+@pytest.mark.parametrize("inner", ["<p>e<math><mi>x</mi><mo>=</mo><mn>2</mn></math> it</p>", "<svg><text>chart</text></svg>", "<object>shown</object>", "<ul><li>a<li>b<li>c<li>d</ul>", "<table><tr><td>1<td>2</table>", "<pre>code  x</pre>"])
+def test_nothing_is_dropped_inside_an_article(inner):
+    plain = re.sub("<[^>]*>", " ", inner)
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>")):
+        got = main_text(f"{open_}<p>{LONG}</p>{inner}<p>{MORE}</p>{close}")
+        assert "".join(got.split()) == "".join(f"{LONG}{plain}{MORE}".split())
+
+
+def test_every_stretch_of_an_unmarked_page_stays():
+    short = "small words here. " * 17
+    page = f"<div><p>{LONG * 7}</p></div>{LINKS}<div><p>{short}</p></div>"
+    assert main_text(page) == squashed(LONG * 7, short)
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>"])
+def test_surge_and_dive_decide_with_and_without_an_article_element(wrap):
+    page = f"<nav><a>x</a></nav>{wrap.format(f'<p>Short.</p><p>{MORE}</p>{LINKS}<p>{LONG}</p>')}"
+    plain = main_text(page)
+    assert squashed(MORE) in plain and squashed(LONG) in plain and "Read story" not in plain
+    results = {plain, main_text(page, surge=310), main_text(page, dive=305), main_text(page, window=1)}
+    assert len(results) > 1 and main_text(page, surge=310) != plain
+
+
+def test_query_equals_its_sql_and_empty_tables_give_none(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    got = sorted(map(tuple, op9_html(spark, sf).select("page_id", "url", "text", "n_chars").collect()))
+    assert got == sorted(con.sql(f"SELECT page_id, url, text, n_chars FROM ({OP9_SQL})").fetchall()) and len(got) > 200
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert op9_html(spark, str(tmp_path)).collect() == []
+
+
+def test_a_page_of_a_megabyte_is_whole():
+    text = main_text(f"<article>{f'<p>{LONG}</p>' * 4000}</article>")
+    assert len(text) == 4000 * len(squashed(LONG)) + 3999
