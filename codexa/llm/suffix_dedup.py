@@ -18,9 +18,18 @@ question over all documents at once, but no index over all of them is needed.
     not shown has LENGTH bytes or more in common.
 4.  What is covered is merged for each document and cut out.
 
-A key with more text than HOT is dealt out further by two more keys of the same
-kind from other hashes, which equal strings share as well. Counts are partial
-aggregates; the joins are equi-joins that adaptive execution may split.
+A key with more text than HOT is dealt out further. A passage that n documents
+share gives n runs under one key that differ around it, and other hashes would
+pick the passage again. But equal strings also have their least piece at the same
+distance from their start: a run is cut by that distance into bins of 32, 8 and
+at last 1 starts (WIDTHS), and the key becomes the hash of the bytes that all
+strings of the bin have in common. Only keys that are still too large go on to
+the next width; at width 1 all runs of a key are the same bytes. So no key's
+distinct text in a task is over HOT, whatever the number of documents. Counts are
+partial aggregates; the joins are equi-joins that adaptive execution may split.
+
+Runs count as the same bytes if their key and the XXH3 of their bytes agree, 128
+bits in all.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.llm.common import as_bytes, part, pieces, settle, text_key
@@ -43,6 +52,8 @@ K = 32
 #: Text of a key beyond which the key is dealt out further, and of one transform.
 HOT = 6_000_000
 BATCH = 2_000_000
+#: Starts that stay together when a key is dealt out further, from one round to the next.
+WIDTHS = (32, 8, 1)
 #: Bits of a place within a block of starts, and the starts of a block.
 PLACE = 23
 BLOCK = 1 << 22
@@ -83,7 +94,7 @@ def string_keys(data: np.ndarray, length: int, k: int, seed: int = 0) -> tuple[n
     return hashes[at], at
 
 
-def runs(data: np.ndarray, sizes: np.ndarray, length: int, k: int, seeds: tuple[int, ...] = (0,)):
+def runs(data: np.ndarray, sizes: np.ndarray, length: int, k: int):
     """Texts one after another -> (text, start in data, number of starts, key, loop) of the runs of equal keys.
 
     loop: the least piece is not the same one all along, without which no string of the run repeats in it.
@@ -91,9 +102,7 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int, k: int, seeds: tuple[
     ends, found = np.cumsum(sizes), []
     for base in range(0, max(0, len(data) - length + 1), BLOCK):
         block = data[base : base + BLOCK + length - 1]
-        keys, at = string_keys(block, length, k, seeds[0])
-        for seed in seeds[1:]:
-            keys = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ string_keys(block, length, k, seed)[0]
+        keys, at = string_keys(block, length, k)
         places = base + np.arange(len(keys))
         owner = np.searchsorted(ends, places, side="right") if base else np.repeat(np.arange(len(sizes)), sizes)[: len(keys)]
         inside = places + length <= ends[owner]
@@ -257,30 +266,90 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), packed], ["doc_id", "text_key", "packed"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Documents with the runs wanted of them -> a row (key, n, doc_id, text_key, start, loop, run) for each."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Documents with the runs wanted of them -> a row (key, n, doc_id, text_key, start, loop, run, hot) for each."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows, keys, ns, starts, loops, found = [], [], [], [], [], []
-
-        def emit(*values, into=(rows, keys, ns, starts, loops, found)):
-            for column, value in zip(into, values, strict=True):
-                column.append(value)
-
+        rows, found, names = [], [], ("key", "n", "start", "loop", "hot")
+        columns: dict[str, list] = {c: [] for c in names}
         for i, (packed, wanted) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
             text = expand.decompress(packed)
             for w in wanted:
-                run = text[w["start"] : w["start"] + w["count"] + length - 1]
-                if not w["hot"]:
-                    emit(i, w["key"], w["n"], w["start"], w["loop"], run)
-                    continue
-                _, at, counts, finer, loop = runs(np.frombuffer(run, np.uint8), np.array([len(run)]), length, k, (0, 1, 2))
-                for a, c, f, x in zip(at.tolist(), counts.tolist(), finer.view(np.int64).tolist(), loop.tolist(), strict=True):
-                    emit(i, f, w["n"], w["start"] + a, int(x), run[a : a + c + length - 1])
+                rows.append(i)
+                found.append(text[w["start"] : w["start"] + w["count"] + length - 1])
+                for c in names:
+                    columns[c].append(w[c])
         rows = pa.array(rows, pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        made = {c: pa.array(columns[c], t) for c, t in zip(names, kinds, strict=True)}
+        made |= {"doc_id": batch.column("doc_id").take(rows), "text_key": batch.column("text_key").take(rows), "run": pa.array(found, pa.binary())}
+        order = ["key", "n", "doc_id", "text_key", "start", "loop", "run", "hot"]
+        yield pa.RecordBatch.from_arrays([made[c] for c in order], order)
+
+
+def binned(data: np.ndarray, sizes: np.ndarray, length: int, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs one after another -> (run, start in data, number of starts, start of the common bytes) of their parts.
+
+    The strings of a part have the same least piece, at distances of one bin of `width`; the common
+    bytes are the length - width + 1 that any string with a distance in the bin has.
+    """
+    ends = np.cumsum(sizes)
+    _, at = string_keys(data, length, k)
+    places = np.arange(len(at))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    inside = places + length <= ends[owner]
+    bins = (at - places) // width
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = (at[1:] != at[:-1]) | (bins[1:] != bins[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+    edges = np.flatnonzero(new)
+    starts, stops = edges[:-1], edges[1:]
+    good = inside[starts]
+    starts, stops = starts[good], stops[good]
+    return owner[starts], starts, stops - starts, at[starts] - bins[starts] * width
+
+
+def _deal(batches: Iterator[pa.RecordBatch], length: int, k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (n, doc_id, text_key, start, run) -> (key, sig, n, doc_id, text_key, start, count, known, run) of the runs' parts.
+
+    A part that a run holds several times, as a line of dashes does, is known to be repeated: it goes on
+    once, for two, and its other places are rows without a run, neighbouring ones as one.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    for batch in pieces(batches, "run", 1_000_000):
+        texts = batch.column("run").to_pylist()
+        raw, sizes = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        run, starts, counts, cores = binned(np.frombuffer(raw, np.uint8), sizes, length, k, width)
+        stops = starts + counts + length - 1
+        keys = np.fromiter((digest(raw[c : c + length - width + 1], width) for c in cores.tolist()), np.uint64, len(starts))
+        sigs = np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts))
+        _, first, group, seen = np.unique(np.stack([run.astype(np.uint64), keys, sigs]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+        known = seen[group.ravel()] > 1
+        head = np.zeros(len(starts), bool)
+        head[first] = True
+        # places of known parts: one row for neighbours that overlap
+        rest = np.flatnonzero(known)
+        new = np.ones(len(rest) + 1, bool)
+        new[1:-1] = (run[rest][1:] != run[rest][:-1]) | (starts[rest][1:] > stops[rest][:-1])
+        edges = np.flatnonzero(new)
+        left, right = rest[edges[:-1]], rest[edges[1:] - 1]
+        base = np.cumsum(sizes) - sizes
+        at = batch.column("start").to_numpy()
+        whole = np.flatnonzero(head)
+        owner = np.concatenate((run[whole], run[left]))
+        begin = np.concatenate((starts[whole], starts[left]))
+        count = np.concatenate((counts[whole], stops[right] - starts[left] - length + 1))
+        n = batch.column("n").to_numpy()
+        rows, none = pa.array(owner), np.zeros(len(left), bool)
+        gone = np.concatenate((np.zeros(len(whole), bool), np.ones(len(left), bool)))
+        number = lambda x: pa.array(np.concatenate((x[whole].view(np.int64), none)), pa.int64(), mask=gone)
+        held = [raw[a:b] for a, b in zip(starts[whole].tolist(), stops[whole].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(starts, pa.int32()), pa.array(loops, pa.int32()), pa.array(found, pa.binary())],
-            ["key", "n", "doc_id", "text_key", "start", "loop", "run"],
+            [
+                number(keys), number(sigs), pa.array(np.concatenate((np.where(known[whole], 2, n[run[whole]]), none + 1)).astype(np.int32)),
+                batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array((at[owner] + begin - base[owner]).astype(np.int32)),
+                pa.array(count.astype(np.int32)), pa.array(gone), pa.array([*held, *[None] * len(left)], pa.binary()),
+            ],
+            ["key", "sig", "n", "doc_id", "text_key", "start", "count", "known", "run"],
         )
 
 
@@ -315,31 +384,66 @@ def _remove(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Reco
         )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, batch: int = BATCH) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, text_key, start, stop), bytes of `length`-byte strings that start elsewhere too.
+def _place() -> Column:
+    return F.xxhash64("doc_id", "text_key", "start")
 
-    Spans may overlap. Texts shorter than `length` (null ones too) have none. Of two equal rows each
-    is elsewhere to the other.
+
+def _stop(length: int) -> Column:
+    return (F.col("start") + F.col("count") + (length - 1)).alias("stop")
+
+
+def dealt(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """documents(doc_id, text) -> spans known to be repeated as a whole, and the rows (key, n, doc_id, text_key, start, loop, run) to expand by key.
+
+    A key's runs have at most `hot` bytes. n is 2 for a run that stands for several.
     """
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
     kind = dict(keyed.dtypes)["doc_id"]
     all_runs = keyed.mapInArrow(part(_runs, length=length, k=k), f"key long, sig long, doc_id {kind}, text_key long, start int, count int, loop int")
     again = all_runs.groupBy("key").agg(F.count("*").alias("n"), F.max("loop").alias("loop")).where("n > 1 OR loop > 0").select("key")
     some = settle(all_runs.join(again, "key", "left_semi"))
-    place = F.xxhash64("doc_id", "text_key", "start")
-    sums = settle(some.groupBy("key", "sig").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("count").alias("c"), F.max("loop").alias("loop")))
+    sums = settle(some.groupBy("key", "sig").agg(F.count("*").alias("n"), F.min(_place()).alias("first"), F.max("count").alias("c"), F.max("loop").alias("loop")))
     many = settle(
         sums.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("c") + length).alias("size"), F.max("loop").alias("loop"))
         .where("kinds > 1 OR loop > 0").select("key", (F.col("size") > hot).alias("hot"))
     )
-    whole = some.join(sums.where("n > 1").select("key", "sig"), ["key", "sig"]).select("doc_id", "text_key", "start", (F.col("start") + F.col("count") + (length - 1)).alias("stop"))
+    whole = some.join(sums.where("n > 1").select("key", "sig"), ["key", "sig"]).select("doc_id", "text_key", "start", _stop(length))
     asked = sums.join(many, "key").select("key", "sig", F.least("n", F.lit(2)).cast("int").alias("n"), "first", "hot")
-    wanted = some.join(asked, ["key", "sig"]).where(place == F.col("first")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "n", "start", "count", "loop", "hot")).alias("wanted"))
+    wanted = some.join(asked, ["key", "sig"]).where(_place() == F.col("first")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "n", "start", "count", "loop", "hot")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "wanted")
     packed = pack(docs)
     texts = packed.join(wanted, packed["doc_id"].eqNullSafe(wanted["id_"]) & (packed["text_key"] == wanted["key_"])).select("doc_id", "text_key", "packed", "wanted")
-    cut = texts.mapInArrow(part(_cut, length=length, k=k), f"key long, n int, doc_id {kind}, text_key long, start int, loop int, run binary")
-    found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(part(_expand, length=length, limit=batch), f"doc_id {kind}, text_key long, start int, stop int")
+    cut = texts.mapInArrow(part(_cut, length=length), f"key long, n int, doc_id {kind}, text_key long, start int, loop int, run binary, hot boolean")
+    if many.where("hot").isEmpty():
+        return whole, cut.drop("hot")
+    cut = settle(cut)
+    rows, large = cut.where("NOT hot").drop("hot"), cut.where("hot")
+    for width in WIDTHS:
+        # a run that stood for several is reported already: only what is new below counts as an owner
+        parts = settle(large.mapInArrow(part(_deal, length=length, k=k, width=width), f"key long, sig long, n int, doc_id {kind}, text_key long, start int, count int, known boolean, run binary"))
+        whole = whole.union(parts.where("known").select("doc_id", "text_key", "start", _stop(length)))
+        parts = parts.where("NOT known").drop("known")
+        sums = settle(parts.groupBy("key", "sig").agg(F.sum("n").alias("n"), F.min(_place()).alias("first"), F.max("count").alias("c")))
+        whole = whole.union(parts.where("n = 1").join(sums.where("n > 1").select("key", "sig"), ["key", "sig"]).select("doc_id", "text_key", "start", _stop(length)))
+        many = sums.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("c") + length).alias("size")).where("kinds > 1").select("key", (F.col("size") > hot).alias("hot"))
+        asked = sums.join(many, "key").select("key", "sig", F.least("n", F.lit(2)).cast("int").alias("n"), "first", "hot")
+        chosen = parts.drop("n").join(asked, ["key", "sig"]).where(_place() == F.col("first"))
+        kept = settle(chosen.select("key", "n", "doc_id", "text_key", "start", F.lit(0).alias("loop"), "run", "hot"))
+        rows, large = rows.union(kept.where("NOT hot").drop("hot")), kept.where("hot")
+        if large.isEmpty():
+            break
+    return whole, rows
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, batch: int = BATCH) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, text_key, start, stop), bytes of `length`-byte strings that start elsewhere too.
+
+    Spans may overlap. Texts shorter than `length` (null ones too) have none. Of two equal rows each
+    is elsewhere to the other. No rows give no rows.
+    """
+    whole, rows = dealt(docs, length, k, hot)
+    kind = dict(rows.dtypes)["doc_id"]
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(part(_expand, length=length, limit=batch), f"doc_id {kind}, text_key long, start int, stop int")
     return whole.union(found)
 
 
