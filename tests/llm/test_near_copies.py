@@ -2,11 +2,14 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from codexa.llm.near_copies import _joined, labelled, similar
+import pyarrow as pa
+import pytest
+from codexa.llm.near_copies import _joined, labelled, shingle_sets, similar
 from codexa.llm.simhash_dedup import shingle_hashes
 
 
-def test_planted_copies_of_similarity_08_go(spark):
+@pytest.mark.parametrize("shingles", [2_000_000, 400])
+def test_planted_copies_of_similarity_08_go(spark, shingles):
     """Each original has copies with a few words changed; brute force over all pairs gives the components."""
     draw = random.Random(3)
     rows = []
@@ -34,7 +37,7 @@ def test_planted_copies_of_similarity_08_go(spark):
         root[max(top(i), top(j))] = min(top(i), top(j))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {}
-    for r in labelled(docs).collect():
+    for r in labelled(docs, shingles=shingles).collect():
         got.setdefault(r.root, []).append(r.doc_id)
     want = {}
     for i, (doc, _) in enumerate(rows):
@@ -61,3 +64,18 @@ def test_only_links_that_join_labels_leave_a_bucket():
                 x, y = root[i], root[j]
                 root = [y if r == x else r for r in root]
     assert len(a) == 60 - len(set(root)) and all(similar(sets[i], sets[j]) for i, j in zip(a, b, strict=True))
+
+
+def test_shingle_sets_tell_apart_what_strings_do():
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("ab") for _ in range(draw.randrange(0, 12))) + draw.choice(["", " ", "\n", "\u00a0x"]) for _ in range(400)] + [None, "", " A b\tC  d e ", "a b c d e"]
+    codes, sizes = shingle_sets(pa.array(texts), 5)
+    ends = np.cumsum(sizes)
+    seen = {}
+    for t, size, end in zip(texts, sizes, ends, strict=True):
+        words = (t or "").encode().lower().split()
+        plain = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        own = codes[end - size : end]
+        assert size == len(plain) and (np.diff(own.astype(object)) > 0).all()
+        assert seen.setdefault(frozenset(plain), own.tolist()) == own.tolist()
+    assert len({tuple(v) for v in seen.values()}) == len(seen)
