@@ -51,15 +51,22 @@ def targets(sizes: dict[str | None, int], weights: list[float], share: float, mo
     return out
 
 
+def place(doc_id: Column, digest: Column) -> Column:
+    """60 bits that follow from a document's id and its text's MD5, as any database can compute them; null ids and texts count as empty."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(digest, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
+
+
 def offset(source: str | None, seed: int) -> float:
     """One number in [0, 1) for each source and seed."""
     return int.from_bytes(hashlib.sha256(repr((seed, source)).encode()).digest()[:6], "big") / 2**48
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 0, size: Column | None = None, chunk: int = CHUNK) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 0, size: Column | None = None, digest: Column | None = None, chunk: int = CHUNK) -> DataFrame:
     """documents(doc_id, source, text, ...) -> (doc, size, source_size, target, copies), a row for each input row.
 
-    doc is the whole input row as a struct, so that any column name is safe. size: words unless given.
+    doc is the whole input row as a struct, so that any column name is safe. size: words unless given;
+    digest: the text's MD5 unless given.
     copies is at most `most` rounded up. Reruns agree: the order is by size, doc_id and a hash of the
     text; rows equal in all of these and in their source are interchangeable. Null sources form a source
     of their own; null ids and texts (size 0) are rows like any other; no rows give no rows. The driver
@@ -67,7 +74,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.struct("*").alias("doc"), F.col("source").alias("source"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"), (n_words() if size is None else size).alias("size")
+        F.struct("*").alias("doc"), F.col("source").alias("source"), F.col("doc_id").alias("id"), place(F.col("doc_id"), F.md5("text") if digest is None else digest).alias("h"), (n_words() if size is None else size).alias("size")
     )
     light = settle(rows.select("source", "h", "size"))
     stats = light.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
@@ -106,19 +113,20 @@ PRODUCTION = {"weights": [3.0, 1.0, 2.0], "share": 1.5, "most": 2.0}
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    light = settle(docs.select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"), n_words().alias("size")))
-    rows = mix(light, size=F.col("size"), **PRODUCTION)
+    light = settle(docs.select("doc_id", "source", F.md5("text").alias("digest"), n_words().alias("size")))
+    rows = mix(light, size=F.col("size"), digest=F.col("digest"), **PRODUCTION)
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-# For tables in which no source has over CHUNK rows (a source is then one chunk) and doc_id is a key.
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 15) AS BIGINT) AS h
+  FROM documents
 ), sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, (count(*) + CHUNK - 1) // CHUNK AS chunks FROM sized GROUP BY source
 ), weighed AS (
-  SELECT source, s, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w FROM sources
+  SELECT source, s, chunks, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w FROM sources
 ), filled AS (
   SELECT *, 1.5::DOUBLE * sum(s) OVER () - coalesce(sum(2.0::DOUBLE * s) OVER stopped, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER stopped, 0) AS open_w,
     row_number() OVER (ORDER BY 2.0::DOUBLE * s / w, source) AS k
@@ -126,11 +134,12 @@ WITH sized AS (
 ), level AS (
   SELECT min(k) AS k, min_by(rest, k) AS rest, min_by(open_w, k) AS open_w FROM filled WHERE rest * w / open_w <= 2.0::DOUBLE * s
 ), wanted AS (
-  SELECT f.source, f.s, CASE WHEN l.k IS NULL OR f.k < l.k THEN 2.0::DOUBLE * f.s ELSE l.rest * f.w / l.open_w END AS target FROM filled f, level l
+  SELECT f.source, f.s, f.chunks, CASE WHEN l.k IS NULL OR f.k < l.k THEN 2.0::DOUBLE * f.s ELSE l.rest * f.w / l.open_w END AS target FROM filled f, level l
 ), ranked AS (
-  SELECT z.doc_id, z.size, w.s, w.target, w.target / w.s AS rate, row_number() OVER (PARTITION BY z.source ORDER BY z.size, z.doc_id) AS r,
+  SELECT z.doc_id, z.size, w.s, w.target, CASE WHEN w.s = 0 THEN 0 ELSE w.target / w.s END AS rate,
+    row_number() OVER (PARTITION BY z.source ORDER BY z.h % w.chunks, CASE WHEN z.h % w.chunks % 2 = 0 THEN z.size ELSE -z.size END, z.doc_id NULLS FIRST, z.h) AS r,
     CAST('0x' || substr(sha256(coalesce('(0, ''' || z.source || ''')', '(0, None)')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS o
   FROM sized z JOIN wanted w ON z.source IS NOT DISTINCT FROM w.source
 )
 SELECT doc_id, size, s AS source_size, target, CAST(coalesce(floor(r * rate + o) - floor((r - 1) * rate + o), 0) AS BIGINT) * size AS taken FROM ranked
-"""
+""".replace("CHUNK", str(CHUNK))

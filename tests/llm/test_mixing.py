@@ -1,7 +1,8 @@
+import random
 from collections import defaultdict
 
 import pytest
-from codexa.llm.mixing import PRODUCTION, mix, mixed, targets
+from codexa.llm.mixing import CHUNK, OP1_SQL, PRODUCTION, mix, mixed, op1_mix_sources, targets
 
 
 def test_targets_share_the_excess():
@@ -31,3 +32,23 @@ def test_chunks_do_not_change_the_counts(corpus):
 def test_mixed_keeps_the_columns(corpus, nothing):
     assert mixed(corpus, **PRODUCTION).columns == corpus.columns
     assert mixed(nothing, **PRODUCTION).count() == 0
+
+
+def test_the_query_equals_its_sql_beyond_one_chunk(spark, tmp_path):
+    """Sources of several chunks, of one, of no words, a null one; null and repeated ids and texts."""
+    duckdb = pytest.importorskip("duckdb")
+    draw = random.Random(8)
+    rows = [(i, " ".join("w" * draw.randrange(1, 4) for _ in range(draw.randrange(0, 30))), draw.choice(["a", "a", "a", "b", None])) for i in range(3 * CHUNK)]
+    rows += [(None, "x y", "a"), (None, None, "a"), (5, rows[5][1], rows[5][2]), (7, None, "b"), (8, "", "none"), (9, "one", "few")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = "doc_id, size, source_size, target, taken"
+    want = con.sql(f"SELECT {names} FROM ({OP1_SQL})").fetchall()
+    got = [tuple(r) for r in op1_mix_sources(spark, str(tmp_path)).select(*names.split(", ")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+    taken, target, largest = defaultdict(int), {}, max(r[1] for r in got)
+    for r in got:
+        taken[r[2:4]] += r[4]
+        assert r[4] <= 2 * r[1]
+    assert len(taken) == 5 and all(abs(t - n) <= max(2 * largest, 0.005 * t) for (_, t), n in taken.items())
