@@ -9,8 +9,14 @@ to the blocks, where documents are put together by position. Decoding looks up
 each id in the table of token bytes.
 
 A word goes out once for each block however often it occurs, so frequent words
-are no hot key; a block is bounded by its text, a bucket's words by the number
-of buckets, which grows with the input.
+are no hot key. A block is bounded by its text. The number of buckets grows with
+the bytes of the input, as long as a block has words enough to fill them; a
+bucket is read as a stream, so that its size costs time only, no memory.
+
+Texts are cut twice, for the words and for the documents: writing the cut blocks
+down would take more disk than the texts. The two passes must see the same rows
+in the same order, which files give and a shuffle may not; so `encode` writes its
+input down first unless the caller says that it comes from files.
 """
 
 from __future__ import annotations
@@ -28,10 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import BATCH_BYTES, bounded, part, release
+from codexa.llm.common import BATCH_BYTES, bounded, part, release, settle
 
 #: Text of one block, in bytes.
 BLOCK_BYTES = 16_000_000
+#: Text for which there is one bucket, in bytes, and the bytes of a block for each bucket that it may fill.
+BUCKET_BYTES, PER_BUCKET = 8_000_000, 256
 #: Encoded words that a task remembers; beyond that it starts afresh (and may encode a word again).
 REMEMBERED = 1_000_000
 
@@ -271,17 +279,21 @@ def _assemble(batches: Iterator[pa.RecordBatch], ranks, emit: Callable) -> Itera
             yield emit(batch.column("doc_id")[i].values, stream, ends, tokens)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, emit: Callable = emit_ids, schema: str = "ids array<int>", limit: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, emit: Callable = emit_ids, schema: str = "ids array<int>", limit: int = BLOCK_BYTES, buckets: int | None = None, from_files: bool = False) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, ids) by the ranks in the .tiktoken file at `path`.
 
     One row for each input row, repeated rows and null ids included; a null or empty text has no
-    ids. `emit` and `schema` choose what a row holds: emit_ids, or emit_digests, which also decodes.
+    ids; no rows give no rows. `emit` and `schema` choose what a row holds: emit_ids, or emit_digests,
+    which also decodes. from_files: docs is a plain read of files, whose rows come in the same order again.
     """
     spark = bounded(docs).sparkSession
+    docs = docs.select("doc_id", "text") if from_files else settle(docs.select("doc_id", "text"))
     ranks = spark.sparkContext.broadcast(_Ranks(path, read_ranks(path)))  # a vocabulary: of fixed size
     kind = dict(docs.dtypes)["doc_id"]
     cut = docs.select("doc_id", pre_tokens(F.col("text"), pattern).alias("words"))
-    buckets = buckets or max(64, min(16_384, docs.rdd.getNumPartitions()))
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(64, min(limit // PER_BUCKET, size // BUCKET_BYTES))
     side = part(_blocks, buckets=buckets, limit=limit)
     words = cut.mapInArrow(part(side, side="words"), "bucket int, block long, blob binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
@@ -311,11 +323,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(part(_decode, ranks=ranks), f"doc_id {kind}, bytes binary")
 
 
-def encoded_digests(docs: DataFrame) -> DataFrame:
-    """The contract's columns for any documents(doc_id, text)."""
+def encoded_digests(docs: DataFrame, from_files: bool = True) -> DataFrame:
+    """The contract's columns for documents(doc_id, text) read from files; else from_files must be False."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, emit_digests, DIGESTS)
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, emit_digests, DIGESTS, from_files=from_files)
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

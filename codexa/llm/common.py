@@ -17,26 +17,33 @@ BATCH_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A session in one process may do without; elsewhere a folder of one machine would lose rows, so none is made up.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="codexa-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 #: Rows and bytes of an Arrow batch; Spark's defaults hold tens of MB of text twice, in the JVM and in Python.
-ARROW_ROWS, ARROW_BYTES = 1_000, 4_000_000
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4000000"}
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The table; its session's Arrow batches are made smaller if they still have Spark's default size."""
+    """The table; its session's Arrow batches are made smaller where the user has not set their size."""
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    own = conf.getAll
+    for key, value in ARROW.items():
+        if key not in own:
+            conf.set(key, value)
     return df
 
 
@@ -46,10 +53,15 @@ def release() -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and reread it: computed once, lineage cut, safe when executors go."""
+    """Write a table to the shared folder and reread it: computed once, lineage cut, safe when executors go.
+
+    The file system deletes the folder when the driver's process ends; until then any table built on it can be read again.
+    """
     spark = bounded(df).sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
