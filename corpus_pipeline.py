@@ -18,27 +18,41 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter, or no language with half of the words' probability."""
+    """Documents without a language go: no letter (null, empty), or no language with half of the words' probability by the random field."""
     return accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier window of three go; n_chars follows; a document that loses all its lines goes."""
+    """Lines that repeat an earlier window of three go; n_chars follows; a document that loses all its lines goes.
+
+    Null, empty and blank texts stay as they are; of repeated rows all count as one document.
+    """
     return without_repeated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingles of five words have a Jaccard similarity of 0.8 or more, also by way of others, the one of smallest doc_id stays."""
+    """Of documents whose shingles of five words have a Jaccard similarity of 0.8 or more, also by way of others, the one of smallest doc_id stays.
+
+    Null and empty texts are one group; of repeated rows one stays.
+    """
     return first_of(docs, labelled(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to two times."""
+    """Documents as often as the mix takes them, none to two times.
+
+    Null sources are a source of their own; rows without words weigh nothing and are taken as often as others of
+    their source; repeated rows are rows like any other; no rows give none.
+    """
     return mixed(docs, **PRODUCTION)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row and what they decode to, as digests."""
+    """Token ids of each row and what they decode to, as digests.
+
+    A row for each row, repeated ones included; a null or empty text has no ids. docs is read from files, as run() and
+    any reader of the stage before do.
+    """
     return encoded_digests(docs)
 
 

@@ -186,3 +186,15 @@ def test_sql_names(spark):
     assert "find_isbns" in register(spark)
     row = spark.sql("SELECT find_isbns('ISBN 0306406152') i, html_to_text('<p>a') h, simhash('') s, size(minhash('a b')) n, isbn_normalize(null) z, word_tokens('A b') w").first()
     assert (row.i, row.h, row.s, row.n, row.z, row.w) == (["0306406152"], "a", 0, 128, None, ["a", "b"])
+
+
+def test_what_a_document_declares():
+    from codexa.functions.charset import declared
+
+    for head, label in [
+        (b'<?xml version="1.0" encoding="windows-1251"?>', "windows-1251"), (b"<?XML version='1.0'\n encoding = 'koi8-r' ?><a>", "koi8-r"), (b"<html><META CHARSET=big5><p>", "big5"),
+        (b'<meta http-equiv="Content-Type" content="text/html; charset=windows-1252"/>', "windows-1252"), (b'<meta name=x content="a"><meta charset = "shift_jis" />', "shift_jis"),
+        (b"<meta charset=utf-8>", None), (b"<metadata charset=big5>", None), (b"<meta charset=foo>", None), (b"", None), (b"<meta", None), (b"<meta content=\"a; charset='gbk'\">", "gbk"),
+        (b"<meta charset=gbk/>", "gbk"), (b"\xfe\xff\0<", "utf-16be"), (b"<\0?\0", "utf-16le"),
+    ]:
+        assert declared(head) == label, head
