@@ -315,17 +315,24 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _accept(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (doc) -> those whose text has a language with `least` of the probability."""
+    texts = (pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc").field("text")], ["doc_id", "text"]) for b in batches)
+    for out in _predict(texts, model, False):
+        keep = pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), least))
+        yield pa.RecordBatch.from_arrays([out.column("doc_id").filter(keep)], ["doc"])
+
+
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that have a language, columns as they were.
 
     One without a letter goes, and one whose language has less than `least` of its words' probability:
     noise, or a mix of which no language is a half. Where nothing could be learned, there is no verdict and
-    every document with a letter stays.
+    every document with a letter stays. A text goes to Python once, within its row.
     """
     model = train(docs)
-    names = docs.columns
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    packed = docs.select(F.struct("*").alias("doc_id"), "text")
-    kept = predict(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in names])
+    rows = bounded(docs).select(F.struct("*").alias("doc"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(part(_accept, model=sent, least=least), rows.schema).select("doc.*")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from codexa.llm.byte_bpe import op10_byte_bpe
 from codexa.llm.html_extract import OP9_SQL, op9_html
 from codexa.llm.language_id import op4_language_id
@@ -33,7 +32,6 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_html": op9_html,
         "op10_byte_bpe": op10_byte_bpe,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -264,7 +264,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, budget: in
     """The documents, one row of each near-duplicate component; columns as they were.
 
     The row of doc_id component_id stays; where several have that id (or none has one), the one of
-    smallest text hash, and one only of rows equal in both.
+    smallest text hash, and of rows equal in both the one whose columns have the smallest hash.
     """
     return first_of(docs, _labelled(docs, words, seed, budget))
 
@@ -275,6 +275,13 @@ def first_of(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     kept = settle(first.select("doc_id", "text_key", "n"))
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), text_key().alias("text_key"))
-    match = packed["doc_id"].eqNullSafe(kept["doc_id"]) & (packed["text_key"] == kept["text_key"])
-    out = packed.join(kept, match, "left_semi").select("doc.*")
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+    def among(rows: DataFrame) -> DataFrame:
+        return packed.join(rows, packed["doc_id"].eqNullSafe(rows["doc_id"]) & (packed["text_key"] == rows["text_key"]), "left_semi")
+
+    several = kept.where("n > 1")
+    if several.isEmpty():
+        return among(kept).select("doc.*")
+    # rows that repeat an id and a text: a minimum, which is aggregated before the shuffle
+    one = among(several).groupBy("doc_id", "text_key").agg(F.min_by("doc", F.xxhash64(*[F.col(f"doc.`{c}`") for c in docs.columns])).alias("doc"))
+    return among(kept.where("n = 1")).select("doc.*").unionByName(one.select("doc.*"))

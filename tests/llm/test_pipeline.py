@@ -1,5 +1,6 @@
 import hashlib
 
+import __spark_entry__
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -38,5 +39,6 @@ def test_stages_keep_the_columns_and_only_drop_what_they_should(spark, stored):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in queries()} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)}
     assert set(oracle_sql()) <= set(queries())
+    assert {*queries(), "pipeline"} <= set(__spark_entry__.queries()) and set(oracle_sql()) <= set(__spark_entry__.oracle_sql())

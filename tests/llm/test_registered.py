@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codexa.llm.registry import oracle_sql, queries
 
 PAGES = "page_id long, url string, html string, text string"
@@ -33,7 +34,7 @@ def hollow(spark, nothing, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(q for q in queries() if q != "pipeline"))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_a_row_for_each_row_with_the_columns_asked_for(spark, stored, hollow, name):
     query, wanted = queries()[name], RETURNED[name.split("_")[0]].split()
     out = query(spark, stored)
@@ -47,7 +48,7 @@ def test_a_row_for_each_row_with_the_columns_asked_for(spark, stored, hollow, na
 
 
 def test_the_pipeline_over_no_rows(spark, hollow):
-    assert queries()["pipeline"](spark, hollow).collect() == []
+    assert corpus_pipeline.run(spark, hollow).collect() == []
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
