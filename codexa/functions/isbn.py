@@ -213,3 +213,27 @@ def normalize_exact(text: Column) -> Column:
         return texts.map(lambda t: None if t is None else normalized(t))
 
     return F.pandas_udf(run, "string")(text)
+
+
+# Labels in front of a declared ISBN; the first that fits goes.
+LABELLED = ("urn:isbn:", "isbn-13:", "isbn-10:", "isbn13:", "isbn10:", "isbn-13", "isbn-10", "isbn13", "isbn10", "isbn:", "isbn")
+
+
+def declared_isbn(text: str) -> str | None:
+    """A valid ISBN as it is written, without its label; None if it is none."""
+    if validated(text) is None:
+        return None
+    value = text.strip()
+    label = next((x for x in LABELLED if value.lower().startswith(x)), "")
+    return value[len(label) :].strip().removeprefix(":").strip() if label else value
+
+
+def of_digits(c: Column) -> Column:
+    """The ISBN that the digits of a text (and X) make, null if they make none."""
+    return validate(F.upper(F.regexp_replace(c, "[^0-9xX]", "")))
+
+
+def declared(c: Column) -> Column:
+    """declared_isbn() as a column."""
+    bare = F.regexp_replace(F.trim(c), f"^(?i:{'|'.join(LABELLED)})", "")
+    return F.when(validate(c).isNotNull(), F.when(bare == F.trim(c), bare).otherwise(F.trim(F.regexp_replace(F.trim(bare), "^:", ""))))

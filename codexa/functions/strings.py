@@ -81,7 +81,7 @@ def can_convert(c: Column) -> Column:
 
 def image_type(content: Column) -> Column:
     """Media type by an image's first bytes; octet-stream if unknown."""
-    head, text = F.hex(F.substring(content, 1, 8)), F.ltrim(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
+    head, text = F.hex(F.substring(content, 1, 8)), F.regexp_replace(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"^\s+", "")
     return (
         F.when(head.startswith("FFD8FF"), "image/jpeg")
         .when(head.startswith("89504E47") & (F.octet_length(content) >= 8), "image/png")
@@ -215,7 +215,7 @@ def split_authors(c: Column) -> Column:
 
 def clean_publisher(c: Column) -> Column:
     """Without a label such as 'publisher:' in front."""
-    return trim(F.regexp_replace(c, r"(?i)^\s*(?:publisher|imprint|kiadó|kiadta)\s*:\s*", ""))
+    return trim(F.regexp_replace(c, r"(?i)^\s*(?:publisher|imprint|kiadó|kiado)\s*:\s*", ""))
 
 
 def palm_time(c: Column) -> Column:

@@ -7,6 +7,7 @@ partitions by book.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,46 @@ def aliases(resources: DataFrame) -> DataFrame:
     return dropped.join(kept, (dropped["book_id"] == kept["book_id"]) & (dropped["id"] == kept["kept_id"]), "left_anti")
 
 
+def canonical_ids(resources: DataFrame) -> DataFrame:
+    """unique_resources() with ids made unique in their book: one that an earlier resource has becomes id__dupN, N the smallest that is free.
+
+    An id that a dropped resource had is taken as well. Within a book the rule is sequential; a book's rows are few.
+    """
+    rows = deduped(resources)
+    own = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit("")).alias("id"), "is_first"))).alias("rows"))
+
+    def run(books: pd.Series) -> pd.Series:
+        return books.map(_free_ids)
+
+    named = own.select("book_id", F.explode(F.pandas_udf(run, "array<struct<pos:long,id:string>>")("rows")).alias("n")).select("book_id", F.col("n.pos").alias("pos"), F.col("n.id").alias("new_id"))
+    return rows.where("is_first").drop("is_first", "first_pos").join(named, ["book_id", "pos"]).withColumn("id", F.col("new_id")).drop("new_id")
+
+
+def _free_ids(rows) -> list[dict]:
+    taken: set[str] = set()
+    out = []
+    for r in rows:
+        name, n = r["id"], 1
+        if r["is_first"]:
+            while name and name in taken:
+                name, n = f"{r['id']}__dup{n}", n + 1
+            out.append({"pos": r["pos"], "id": name})
+        taken.add(name)
+    return out
+
+
+def with_cover(resources: DataFrame, covers: DataFrame) -> DataFrame:
+    """resources(book_id, pos, id, href) and covers(book_id, id, href) -> (book_id, pos, id, is_new) of each book's cover.
+
+    A cover whose href a resource has is that resource; any other comes after the book's last one, its id made unique.
+    """
+    last = resources.groupBy("book_id").agg(F.max("pos").alias("last"))
+    added = covers.join(last, "book_id", "left").select("book_id", (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("pos"), "id", "href")
+    every = canonical_ids(resources.select("book_id", F.col("pos").cast("long").alias("pos"), "id", "href").unionByName(added))
+    keyed = covers.select("book_id", clean_href(F.col("href")).alias("href_key"))
+    return every.join(keyed, ["book_id", "href_key"]).join(last, "book_id", "left").select("book_id", "pos", "id", (F.col("pos") > F.coalesce("last", F.lit(-1))).alias("is_new"))
+
+
 def canonical_order(reading_order: DataFrame, resources: DataFrame) -> DataFrame:
     """The reading order with each dropped resource replaced by the one that stands for it."""
     stand_in = deduped(resources).select("book_id", F.col("pos").alias("resource_pos"), "first_pos")

@@ -74,6 +74,11 @@ def scan_reading_order(parts: DataFrame, *processors: Processor | None) -> DataF
     return scan(reading_text(parts, "\n"), *processors)
 
 
+def text_with_fingerprint(parts: DataFrame, **options) -> DataFrame:
+    """(book_id, text, fingerprint): the linear text of each book and its fingerprint, worked out from one reading."""
+    return scan_reading_order(parts, Processor("text", lambda text: text), fingerprints(**options))
+
+
 def heads_only(parts: DataFrame, n: int) -> DataFrame:
     """The linear parts that the first n bytes of a book reach, for scans that need no more."""
     before = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codexa.functions.isbn import check_digit_13
 from codexa.operators import resources as rs
-from codexa.operators import scan as sc
 from codexa.session import table
 
 
@@ -27,27 +25,6 @@ def reading_order_concat(spark, sf):
     return rs.reading_text(_parts(spark, sf)).select("book_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
-def head_capture(spark, sf):
-    return sc.scan(rs.reading_text(sc.heads_only(_parts(spark, sf), 200), "\n"), sc.text_head(200))
-
-
-def scan_all(spark, sf):
-    rows = sc.scan_reading_order(_parts(spark, sf), sc.Processor("sha256", lambda t: F.sha2(t, 256)), sc.text_head(100), sc.isbns(), None)
-    return rows.select("book_id", "sha256", "head", F.size("isbns").cast("long").alias("n_isbns"))
-
-
-def scan_fingerprints(spark, sf):
-    rows = sc.scan_reading_order(_parts(spark, sf), sc.fingerprints(n=16))
-    return rows.select("book_id", F.col("fingerprint.simhash").alias("simhash"), F.get("fingerprint.minhash", F.lit(0)).alias("first_minimum"))
-
-
-def fallback_isbn(spark, sf):
-    parts = _parts(spark, sf)
-    body = F.concat(F.lit("978"), F.lpad((F.col("book_id") * 1000 + F.col("pos")).cast("string"), 9, "0"))
-    rows = parts.withColumn("text", F.when(~F.col("linear"), F.concat("text", F.lit(" ISBN "), body, check_digit_13(body))).otherwise(F.col("text")))
-    return sc.book_isbns(rows).select("book_id", F.array_join("isbns", ",").alias("isbns"))
-
-
 def _resources(spark, sf):
     rows = table(spark, sf, "pages")
     site = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
@@ -91,12 +68,6 @@ def cover_pick(spark, sf):
     return rs.cover(items, metas)
 
 
-def resource_lookup(spark, sf):
-    res = _resources(spark, sf)
-    wanted = res.where("pos % 3 = 0").select("book_id", F.concat(F.col("href"), F.lit("#x")).alias("href")).distinct()
-    return rs.by_href(res, wanted).select("book_id", "id", "pos").distinct()
-
-
 def book_counts(spark, sf):
     parts = _parts(spark, sf)
     return rs.counts(parts, parts)
@@ -107,16 +78,11 @@ FIRST_SQL = f"WITH k AS ({KEY_SQL}), f AS (SELECT *, row_number() OVER (PARTITIO
 QUERIES = {
     "reading_order_text": (reading_order_text, TEXT_SQL),
     "reading_order_concat": (reading_order_concat, f"SELECT book_id, sha256(t) AS sha256, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT book_id, coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE linear), '') AS t FROM ({PARTS_SQL}) GROUP BY book_id)"),
-    "head_capture": (head_capture, None),
-    "scan_all": (scan_all, None),
-    "scan_fingerprints": (scan_fingerprints, None),
-    "fallback_isbn": (fallback_isbn, None),
     "resource_dedup": (resource_dedup, f"{FIRST_SQL} SELECT book_id, pos, id, href_key FROM f WHERE r = 1"),
     "resource_alias": (resource_alias, f"{FIRST_SQL} SELECT book_id, id, first_pos AS resource_pos FROM f WHERE r > 1"),
     "spine_canonical": (spine_canonical, f"{FIRST_SQL} SELECT book_id, pos, first_pos AS resource_pos, pos % 3 <> 0 AS linear FROM f"),
     "manifest_join": (manifest_join, f"{FIRST_SQL} SELECT f.book_id, f.pos, f.id, e.pos AS size FROM f JOIN (SELECT book_id, href_key, pos FROM f WHERE r = 1 AND pos % 2 = 0) e ON e.book_id = f.book_id AND e.href_key = (CASE WHEN f.href = '' THEN '.' ELSE f.href_key END)"),
     "spine_join": (spine_join, f"SELECT book_id, pos, pos AS resource_pos, pos % 4 <> 0 AS linear FROM ({RES_SQL}) WHERE pos % 5 <> 0"),
     "cover_pick": (cover_pick, f"SELECT book_id, coalesce(m, n) AS id FROM (SELECT book_id, min_by(id, pos) FILTER (WHERE pos % 7 = 0) AS m, min_by(id, pos) FILTER (WHERE pos % 2 = 0) AS n FROM ({RES_SQL}) GROUP BY book_id) WHERE m IS NOT NULL OR n IS NOT NULL"),
-    "resource_lookup": (resource_lookup, None),
     "book_counts": (book_counts, f"SELECT book_id, count(*) AS n_resources, count(*) FILTER (WHERE linear) AS n_linear, count(*) FILTER (WHERE NOT linear) AS n_other FROM ({PARTS_SQL}) GROUP BY book_id"),
 }

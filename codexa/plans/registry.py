@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexa.plans import books, made, text
+from codexa.plans import books, formats, made, rules, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**text.QUERIES, **books.QUERIES, **made.QUERIES}
+ALL = {**text.QUERIES, **books.QUERIES, **made.QUERIES, **formats.QUERIES, **rules.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -130,11 +130,6 @@ def isbn_normalize(spark, sf):
     return _written(spark, sf).select("key", isbn.normalize(F.col("written")).alias("normalized"))
 
 
-def isbn_validate(spark, sf):
-    rows = _written(spark, sf).select("key", isbn.validate(F.col("written")).alias("isbn"))
-    return rows.select("key", "isbn", isbn.kind(F.col("isbn")).cast("long").alias("kind"), F.col("isbn").isNotNull().alias("valid"))
-
-
 def isbn10_to_13(spark, sf):
     return isbn_check_digits(spark, sf).select("key", isbn.to13(F.col("isbn10")).alias("isbn13"))
 
@@ -169,12 +164,6 @@ SELECT key, CAST(CASE WHEN core = repeat(core[1], 9) THEN 1
   WHEN len(list_distinct(string_split(core, ''))) <= 2 THEN 4 ELSE 0 END AS BIGINT) AS placeholder FROM c"""
 
 
-def isbn_find(spark, sf):
-    rows = _written(spark, sf)
-    text = F.concat(F.lit("Printed in 2001. ISBN "), "isbn13", F.lit(" (hardback), also "), "isbn10", F.lit("; order no. "), F.col("key").cast("string"))
-    return rows.select("key", F.array_join(isbn.find_isbns(text), ",").alias("isbns"))
-
-
 def urls(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", "url")
     return rows.select(
@@ -251,11 +240,9 @@ QUERIES = {
     "page_text": (page_text, PAGE_SQL),
     "isbn_check_digits": (isbn_check_digits, f"SELECT key, isbn10, isbn13 FROM ({ISBN_SQL})"),
     "isbn_normalize": (isbn_normalize, f"SELECT key, CASE WHEN key % 7 = 0 THEN NULL WHEN key % 3 = 1 THEN isbn10 ELSE isbn13 END AS normalized FROM ({ISBN_SQL})"),
-    "isbn_validate": (isbn_validate, None),
     "isbn10_to_13": (isbn10_to_13, f"SELECT key, isbn13 FROM ({ISBN_SQL})"),
     "isbn13_to_10": (isbn13_to_10, f"SELECT key, isbn10 FROM ({ISBN_SQL})"),
     "isbn_placeholder": (isbn_placeholder, PLACEHOLDER_SQL),
-    "isbn_find": (isbn_find, None),
     "urls": (urls, "WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[^?#]*'), '^[a-z]+://[^/]*', '') AS p FROM pages) SELECT page_id, regexp_extract(url, '^[^?#]*') AS cut, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') AS is_url, CASE WHEN rtrim(regexp_replace(p, '/+', '/', 'g'), '/') = '' THEN CASE WHEN p = '' THEN '.' ELSE '/' END ELSE rtrim(regexp_replace(p, '/+', '/', 'g'), '/') END AS path FROM p"),
     "identifiers": (identifiers, f"SELECT key, CASE key % 6 WHEN 0 THEN 'ISBN' WHEN 1 THEN 'DOI' WHEN 2 THEN 'URL' WHEN 3 THEN 'calibre' WHEN 4 THEN '' ELSE 'UUID' END AS scheme, CASE key % 6 WHEN 1 THEN '10.1000/' || key WHEN 2 THEN 'https://example.org/' || key ELSE CAST(key AS VARCHAR) END AS value, 'ISBN' AS explicit_scheme, CASE WHEN key % 6 = 0 THEN CAST(key AS VARCHAR) ELSE trim({_V}) END AS explicit_value FROM (SELECT p_partkey AS key FROM part)"),
     "subjects": (subjects, "WITH s AS (SELECT p_partkey AS key, list_filter(list_transform(string_split(p_type || ' ; ' || p_brand || ' ; ' || upper(p_type) || ';' || p_name || ';;' || p_brand, ';'), lambda x: trim(x)), lambda x: x <> '') AS l FROM part), u AS (SELECT key, l, unnest(l) AS x, unnest(range(len(l))) AS i FROM s), f AS (SELECT key, l, x, i, row_number() OVER (PARTITION BY key, lower(x) ORDER BY i) AS r FROM u) SELECT key, any_value(array_to_string(l, '|')) AS subjects, string_agg(x, '|' ORDER BY i) FILTER (WHERE r = 1) AS distinct_subjects FROM f GROUP BY key"),

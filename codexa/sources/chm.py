@@ -9,16 +9,15 @@ import struct
 
 from codexa.functions import charset
 from codexa.functions.strings import HELP_TYPES
+from codexa.sources import help_page
+from codexa.sources.locales import help_charset, help_language
 from codexa.sources.lzx import FRAME, decompress
 from codexa.sources.model import Book, Corrupt, Options, OverLimit, Resource
-from codexa.sources.mobi import LANGUAGES
 
 # Names of the compressed section's parts.
 _SPACE = "::DataSpace/Storage/MSCompressed/"
 CONTENT, CONTROL = _SPACE + "Content", _SPACE + "ControlData"
 RESETS = _SPACE + "Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable"
-# Charsets of primary languages.
-CHARSETS = {1: "windows-1256", 2: "windows-1251", 4: "gbk", 5: "windows-1250", 8: "windows-1253", 13: "windows-1255", 14: "windows-1250", 17: "shift_jis", 18: "euc-kr", 21: "windows-1250", 24: "windows-1250", 25: "windows-1251", 27: "windows-1250", 30: "windows-874", 31: "windows-1254", 34: "windows-1251", 42: "windows-1258"}
 
 
 def supports(data: bytes) -> bool:
@@ -149,7 +148,6 @@ def topic(path: str) -> str | None:
 
 
 _LOCAL = re.compile(r"<param\b[^>]*\bname\s*=\s*[\"']?local[\"']?[^>]*\bvalue\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
-_META = re.compile(r"<meta\b[^>]*\bname\s*=\s*[\"']?([\w.:-]+)[\"']?[^>]*\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 
 
 def read(data: bytes, options: Options) -> Book:
@@ -157,9 +155,9 @@ def read(data: bytes, options: Options) -> Book:
     book = Book(file_type="chm", version=str(archive.version))
     system = _system(archive.read("/#SYSTEM")) if "/#SYSTEM" in archive else {}
     language = struct.unpack_from("<I", system[4])[0] if len(system.get(4, b"")) >= 4 else archive.language
-    fallback = CHARSETS.get(language & 0xFF, "windows-1252")
+    fallback = help_charset(language)
     words = lambda raw: raw.partition(b"\0")[0].decode(charset.codec(fallback) or "cp1252", "replace").strip()
-    book.languages = [LANGUAGES[language & 0xFF]] if language & 0xFF in LANGUAGES else []
+    book.languages = [tag] if (tag := help_language(language)) else []
     by_path: dict[str, Resource] = {}
     for name, _, _, size in archive.entries.values():
         if not name.startswith("/") or name.endswith("/") or name.startswith(("/#", "/$")):
@@ -203,11 +201,12 @@ def read(data: bytes, options: Options) -> Book:
     page = charset.decode(archive.read("/" + home.href), home.charset) if home and home.error_code is None else ""
     titled = re.search(r"<title[^>]*>(.*?)</title>", page, re.I | re.S)
     book.title = words(system.get(3, b"")) or (" ".join(html.unescape(titled[1]).split()) if titled else "") or next((t for path, t in listed if path == start and t), "")
-    metas = {k.lower(): html.unescape(a or b).strip() for k, a, b in _META.findall(page)}
-    book.authors = [x for v in (metas.get("author", ""),) for y in v.split(";") if (x := y.strip())]
-    book.description = metas.get("description", "")
-    book.publisher = next((metas[k] for k in ("dc.publisher", "publisher") if metas.get(k)), "")
-    book.publication_date = next((metas[k] for k in ("dc.date", "date") if metas.get(k)), "")
+    said = help_page.Page(page)
+    author = next(iter(said.metas("author")), "")
+    book.authors = [x for y in author.split(";") if (x := y.strip())]
+    book.description = next(iter(said.metas("description")), "")
+    book.publisher, book.publication_date, number = help_page.publisher(said), help_page.date(said), help_page.isbn(said)
+    book.identifiers = [("ISBN", number)] if number else []
     shown = re.search(r"<img\b[^>]*\balt\s*=\s*[\"'][^\"']*cover[^\"']*[\"'][^>]*>", page, re.I)
     if shown and home and (m := re.search(r"\bsrc\s*=\s*[\"']([^\"']+)", shown[0], re.I)):
         book.cover = by_path.get(posixpath.normpath(posixpath.join("/" + posixpath.dirname(home.href), m[1])).lower())

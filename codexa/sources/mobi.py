@@ -8,16 +8,11 @@ import struct
 from codexa.functions.strings import HTML_TYPES, PLAIN, PML
 from codexa.sources import opf
 from codexa.sources.containers import Huff, PalmDatabase, inflate, palmdoc
+from codexa.sources.locales import palm_language
 from codexa.sources.model import Book, BookError, Corrupt, Options, OverLimit, Protected, Resource, image_type, split_identifier, split_subjects
 
 NONE = 0xFFFFFFFF
 MOBI_HTML = HTML_TYPES[2]
-# Primary languages of a locale code's low bits.
-LANGUAGES = {
-    1: "ar", 2: "bg", 3: "ca", 4: "zh", 5: "cs", 6: "da", 7: "de", 8: "el", 9: "en", 10: "es", 11: "fi", 12: "fr", 13: "he", 14: "hu", 15: "is", 16: "it", 17: "ja", 18: "ko", 19: "nl", 20: "no", 21: "pl",
-    22: "pt", 23: "rm", 24: "ro", 25: "ru", 26: "hr", 27: "sk", 28: "sq", 29: "sv", 30: "th", 31: "tr", 32: "ur", 33: "id", 34: "uk", 35: "be", 36: "sl", 37: "et", 38: "lv", 39: "lt", 41: "fa", 42: "vi",
-    43: "hy", 44: "az", 45: "eu", 47: "mk", 54: "af", 55: "ka", 57: "hi", 62: "ms", 63: "kk", 65: "sw", 67: "uz", 68: "tt", 69: "bn", 70: "pa", 71: "gu", 73: "ta", 74: "te", 75: "kn", 78: "mr",
-}
 # Record types of extended headers.
 AUTHOR, PUBLISHER, DESCRIPTION, ISBN, SUBJECT, DATE, SOURCE, ASIN, KF8_AT, COVER, TITLE, ASIN_2, LANGUAGE = 100, 101, 103, 104, 105, 106, 112, 113, 121, 201, 503, 504, 524
 
@@ -238,7 +233,7 @@ def _metadata(book: Book, halves: list[Header], fallback: str) -> None:
     book.title = one(TITLE) or next((h.name for h in halves if h.name), "") or fallback
     book.authors, book.subjects = best(AUTHOR), split_subjects(best(SUBJECT))
     book.publisher, book.description, book.publication_date = one(PUBLISHER), one(DESCRIPTION), one(DATE)
-    language = next((LANGUAGES[h.locale & 0xFF] for h in halves if h.locale & 0xFF in LANGUAGES), "")
+    language = next((tag for h in halves if (tag := palm_language(h.locale))), "")
     book.languages = best(LANGUAGE) or ([language] if language else [])
     for h in halves:
         pairs = [("ISBN", split_identifier(v, "ISBN")[1]) for v in h.values(ISBN)]

@@ -11,12 +11,13 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codexa.functions.conversion import convert
+from codexa.functions.conversion import NoConversion, convert, converted
 from codexa.functions.strings import PLAIN
 from codexa.operators.resources import reading_text
 from codexa.sources.detect import READERS
@@ -120,5 +121,36 @@ def book_texts(parsed: DataFrame) -> DataFrame:
     return reading_text(rows, "\n").join(bad, "book_id", "left").select("book_id", F.when(F.col("error_code").isNull(), F.col("text")).alias("text"), "error_code")
 
 
+def reading_order_as(parsed: DataFrame, media_type: str | None = None, charset: str | None = None) -> DataFrame:
+    """(book_id, data, error_code): the bytes of the linear parts, one after another, as a media type, in a charset, both or as stored.
+
+    A part that cannot be converted fails its book alone.
+    """
+    order = parsed.select(F.col("path").alias("book_id"), "resources", F.explode("reading_order").alias("o")).where("o.linear")
+    rows = order.select("book_id", F.col("o.pos").alias("pos"), F.get("resources", F.col("o.resource_pos")).alias("r"))
+    if media_type is None and charset is None:
+        done = rows.select("book_id", "pos", F.coalesce("r.content", F.lit(b"")).alias("data"), F.col("r.error_code").alias("error"))
+    else:
+
+        def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for datas, mimes, hints in batches:
+                found = []
+                for data, mime, hint in zip(datas, mimes, hints, strict=True):
+                    try:
+                        found.append((converted(None if data is None else bytes(data), mime or "", media_type or mime or "", hint, charset), None))
+                    except NoConversion:
+                        found.append((None, "NO_TRANSFORMER"))
+                    except LookupError:
+                        found.append((None, "UNKNOWN_CHARSET"))
+                yield pd.DataFrame(found, columns=["data", "error"])
+
+        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+        c = F.pandas_udf(run, "data binary, error string")("r.content", "r.media_type", "r.charset")
+        done = rows.withColumn("c", c).select("book_id", "pos", F.coalesce("c.data", F.lit(b"")).alias("data"), F.coalesce("r.error_code", "c.error").alias("error"))
+    whole = done.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"), F.min("error").alias("error_code"))
+    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"]))
+    return whole.select("book_id", F.when(F.col("error_code").isNull(), joined).alias("data"), "error_code")
+
+
 def protected(parsed: DataFrame) -> Column:
     return parsed["error_code"] == Protected.code

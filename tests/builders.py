@@ -1,18 +1,11 @@
 """Small books of each format, made in memory."""
 
 import base64
-import io
 import struct
-import zipfile
 import zlib
 
-
-def zipped(files):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in files.items():
-            z.writestr(name, data)
-    return out.getvalue()
+from codexa.plans import samples
+from codexa.plans.samples import kf8, lzx_literals, lzx_plain, mobi_header, palm, tag, zipped  # noqa: F401
 
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/a.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -54,65 +47,12 @@ def fb3():
     )
 
 
-def palm(kind, records, name=b"Name"):
-    head = name.ljust(32, b"\0") + struct.pack(">HHIIIIII", 0, 0, 0, 0, 0, 0, 0, 0) + kind + struct.pack(">IIH", 0, 0, len(records))
-    at, table = 78 + 8 * len(records), b""
-    for i, r in enumerate(records):
-        table += struct.pack(">II", at, i)
-        at += len(r)
-    return head + table + b"".join(records)
-
-
-def mobi_header(text_records, compression=1, version=6, exth=(), drm=0xFFFFFFFF, first_image=0xFFFFFFFF, extra=0, name=b"Full", huff=(0, 0), fdst=0xFFFFFFFF, skel=0xFFFFFFFF, div=0xFFFFFFFF):
-    records = b"".join(struct.pack(">II", k, 8 + len(v)) + v for k, v in exth)
-    ext = b"EXTH" + struct.pack(">II", 12 + len(records), len(exth)) + records
-    raw = bytearray(264)
-    struct.pack_into(">HHIHHHH", raw, 0, compression, 0, 0, text_records, 4096, 0, 0)
-    raw[16:20] = b"MOBI"
-    struct.pack_into(">III", raw, 20, 248, 2, 65001)
-    struct.pack_into(">I", raw, 36, version)
-    struct.pack_into(">III", raw, 84, 264 + len(ext), len(name), 9)
-    struct.pack_into(">III", raw, 108, first_image, *huff)
-    struct.pack_into(">I", raw, 128, 0x40)
-    struct.pack_into(">I", raw, 168, drm)
-    struct.pack_into(">II", raw, 0xC0, fdst, 2 if fdst != 0xFFFFFFFF else 0)
-    struct.pack_into(">H", raw, 242, extra)
-    struct.pack_into(">II", raw, 0xF8, div, skel)
-    return bytes(raw) + ext + name
-
-
 def mobi6(**more):
     exth = [(100, b"Ann"), (105, b"x; y"), (104, b"0306406152"), (503, b"New title"), (201, struct.pack(">I", 0)), (113, b"B00")]
     texts = [b"<html><body><p>One", b" two</p></body></html>#"]
     return palm(b"BOOKMOBI", [mobi_header(2, exth=exth, first_image=3, **more), *texts, PNG, b"FLIS"])
 
 
-def indx(entries, tags):
-    """An index of one record; a value needs less than 128."""
-    table = bytes(x for t in tags for x in t) + bytes((0, 0, 0, 1))
-    head = bytearray(56)
-    head[:4] = b"INDX"
-    struct.pack_into(">I", head, 4, 56)
-    struct.pack_into(">I", head, 24, 1)
-    first = bytes(head) + b"TAGX" + struct.pack(">II", 12 + len(table), 1) + table
-    body, places = b"", []
-    for name, control, values in entries:
-        places.append(56 + len(body))
-        body += bytes((len(name),)) + name + bytes((control,)) + b"".join(bytes((v >> 7, v & 0x7F | 0x80)) if v > 127 else bytes((v | 0x80,)) for v in values)
-    head = bytearray(56)
-    head[:4] = b"INDX"
-    struct.pack_into(">II", head, 20, 56 + len(body), len(entries))
-    return [first, bytes(head) + body + b"IDXT" + b"".join(struct.pack(">H", p) for p in places)]
-
-
-def kf8():
-    skeleton, fragment = b"<html><body></body></html>", b"<p>inside</p>"
-    text = skeleton + fragment
-    skel = indx([(b"SKEL0", 3, [1, 0, len(skeleton)])], [(1, 1, 1, 0), (6, 2, 2, 0)])
-    div = indx([(b"0000000012", 1, [0, len(fragment)])], [(6, 2, 1, 0)])
-    return palm(b"BOOKMOBI", [mobi_header(1, version=8, skel=2, div=4), text, *skel, *div])
-
-
 def joint(broken=False):
     second = palm(b"BOOKMOBI", [mobi_header(1, version=8, exth=[(503, b"Eight")], compression=17480 if broken else 1), b"<p>new</p>"])
     first = [mobi_header(1, exth=[(121, struct.pack(">I", 3)), (503, b"Six")]), b"<p>old</p>", b"BOUNDARY"]
@@ -136,126 +76,11 @@ def ereader(compression=10):
     return palm(b"PNRdPPrs", [bytes(raw), zlib.compress(rb"\pChapter\p \iHi\i"), image, b"Title\0Author\0Rights\0Pub\x000306406152\0"])
 
 
-def tag(low, payload=b""):
-    return bytes((low, 0xF5)) + payload
-
-
 def lrf(key=0x30):
-    objects = {}
-
-    def scrambled(raw):
-        k = (len(raw) % key) + 0x0F
-        return bytes(c ^ k for c in raw)
-
-    def obj(name, kind, body):
-        objects[name] = tag(0x00, struct.pack("<IH", name, kind)) + body + tag(0x01)
-
-    def stream(raw, flags=0):
-        if flags & 0x100:
-            raw = struct.pack("<I", len(raw)) + zlib.compress(raw)
-        if flags & 0x200:
-            raw = scrambled(raw)
-        return tag(0x54, struct.pack("<H", flags)) + tag(0x04, struct.pack("<I", len(raw))) + tag(0x05) + raw + tag(0x06)
-
     text = tag(0xA1, bytes(4)) + "Hi".encode("utf-16-le") + tag(0xD1, bytes(12)) + tag(0xCC, struct.pack("<H", 4) + " x".encode("utf-16-le")) + tag(0xD2) + "y".encode("utf-16-le")
-    obj(1, 0x1C, tag(0x7B, struct.pack("<I", 2)))
-    obj(2, 0x01, tag(0x5C, struct.pack("<HI", 1, 3)))
-    obj(3, 0x02, stream(tag(0x03, struct.pack("<I", 4))))
-    obj(4, 0x06, stream(tag(0x03, struct.pack("<I", 5))))
-    obj(5, 0x0A, stream(text, 0x300))
-    obj(6, 0x11, stream(PNG, 0x12))
-    info = zlib.compress(b"<Info><BookInfo><Title>T</Title><Author>A and B &amp;&amp; C</Author><Category>x, y</Category><Keyword>X</Keyword></BookInfo><DocInfo><Language>en</Language></DocInfo></Info>")
-    head = bytearray(0x58)
-    head[:8] = b"L\0R\0F\0\0\0"
-    struct.pack_into("<HHI", head, 8, 999, key, 1)
-    struct.pack_into("<H", head, 0x4C, len(info) + 4)
-    struct.pack_into("<HI", head, 0x4E, 0x12, len(PNG))
-    data, table = bytes(head) + info + PNG, b""
-    for name, body in objects.items():
-        table += struct.pack("<IIII", name, len(data), len(body), 0)
-        data += body
-    whole = bytearray(data + table)
-    struct.pack_into("<QQ", whole, 0x10, len(objects), len(data))
-    return bytes(whole)
-
-
-class BitWriter:
-    """16-bit little-endian units, the upper bits first."""
-
-    def __init__(self):
-        self.bits = ""
-
-    def put(self, value, n):
-        self.bits += format(value, f"0{n}b") if n else ""
-
-    def bytes(self):
-        bits = self.bits + "0" * (-len(self.bits) % 16)
-        return b"".join(int(bits[i : i + 16], 2).to_bytes(2, "little") for i in range(0, len(bits), 16))
-
-
-def lzx_literals(data, slots=30):
-    """A verbatim block of literals with 8-bit codes."""
-    w = BitWriter()
-    w.put(0, 1)
-    w.put(1, 3)
-    w.put(len(data), 24)
-    small = lambda: [w.put(1 if s in (0, 9) else 0, 4) for s in range(20)]  # noqa: E731  symbol 0: '0', symbol 9: '1'
-    small()
-    w.put((1 << 256) - 1, 256)
-    small()
-    w.put(0, 8 * slots)
-    small()
-    w.put(0, 249)
-    for c in data:
-        w.put(c, 8)
-    return w.bytes()
-
-
-def lzx_plain(data):
-    """An uncompressed block."""
-    w = BitWriter()
-    w.put(0, 1)
-    w.put(3, 3)
-    w.put(len(data), 24)
-    return w.bytes() + struct.pack("<III", 1, 1, 1) + data + b"\0" * (len(data) & 1)
+    info = "<Info><BookInfo><Title>T</Title><Author>A and B &amp;&amp; C</Author><Category>x, y</Category><Keyword>X</Keyword></BookInfo><DocInfo><Language>en</Language></DocInfo></Info>"
+    return samples.lrf(text, info, PNG, key)
 
 
 def chm(pages=None):
-    pages = pages or {"/a.htm": b"<html><head><title>Home</title><meta name=author content='A; B'></head><body>One</body></html>", "/b.htm": b"<p>Two</p>", "/t.hhc": b'<ul><li><object><param name="Local" value="b.htm#x"></object><li><object><param name="Local" value="a.htm"></object></ul>'}
-    content, entries = b"", []
-    for name, data in pages.items():
-        entries.append((name, 1, len(content), len(data)))
-        content += data
-    packed = lzx_literals(content, slots=30)
-    plain = {
-        "::DataSpace/Storage/MSCompressed/Content": packed,
-        "::DataSpace/Storage/MSCompressed/ControlData": struct.pack("<I4sIIIII", 6, b"LZXC", 2, 1, 1, 1, 0),
-        "::DataSpace/Storage/MSCompressed/Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable": struct.pack("<IIIIQQQQ", 2, 1, 8, 40, len(content), len(packed), 0x8000, 0),
-        "/#SYSTEM": struct.pack("<I", 3) + b"".join(struct.pack("<HH", k, len(v)) + v for k, v in ((2, b"a.htm\0"), (3, b"Help\0"), (4, struct.pack("<I", 0x409)))),
-    }
-    if not any(n.endswith(".hhc") for n in pages):
-        paths = [n.lstrip("/") for n in pages]
-        strings = b"\0Second\0First\0"
-        plain["/#STRINGS"] = strings
-        plain["/#URLSTR"] = b"".join(bytes(8) + p.encode() + b"\0" for p in paths)
-        starts = [sum(9 + len(p) for p in paths[:i]) for i in range(len(paths))]
-        plain["/#URLTBL"] = b"".join(struct.pack("<III", 0, i, s) for i, s in enumerate(starts))
-        plain["/#TOPICS"] = b"".join(struct.pack("<IIIHH", 0, t, 12 * i, 6, 0) for i, t in ((1, 1), (0, 8), (1, 1)))
-        plain["/#SYSTEM"] = struct.pack("<I", 3) + struct.pack("<HH", 2, 6) + b"a.htm\0"
-    store = b""
-    for name, data in plain.items():
-        entries.append((name, 0, len(store), len(data)))
-        store += data
-
-    def number(n):
-        out = bytes((n & 0x7F,))
-        while n := n >> 7:
-            out = bytes((n & 0x7F | 0x80,)) + out
-        return out
-
-    rows = b"".join(number(len(n)) + n.encode() + number(s) + number(at) + number(size) for n, s, at, size in sorted(entries, key=lambda e: e[0].lower()))
-    page = b"PMGL" + struct.pack("<IIii", 4096 - 20 - len(rows), 0, -1, -1) + rows.ljust(4096 - 20, b"\0")
-    directory = b"ITSP" + struct.pack("<IIIIIIiiiII", 1, 0x54, 10, 4096, 2, 1, -1, 0, 0, 1, 0x409) + bytes(0x54 - 48) + page
-    base = 0x60 + len(directory)
-    head = b"ITSF" + struct.pack("<IIIII", 3, 0x60, 1, 0, 0x409) + bytes(32) + struct.pack("<QQQQQ", 0x60, 0, 0x60, len(directory), base)
-    return head + directory + store
+    return samples.chm(pages or {"/a.htm": b"<html><head><title>Home</title><meta name=author content='A; B'></head><body>One</body></html>", "/b.htm": b"<p>Two</p>", "/t.hhc": b'<ul><li><object><param name="Local" value="b.htm#x"></object><li><object><param name="Local" value="a.htm"></object></ul>'})

@@ -35,7 +35,8 @@ def test_entry_finds_the_flagship(spark):
 
 
 def test_isbn_find_covers_every_key(spark):
-    from codexa.plans.text import isbn_check_digits, isbn_find
+    from codexa.plans.rules import isbn_find
+    from codexa.plans.text import isbn_check_digits
 
     got = {r.key: r.isbns for r in isbn_find(spark, FOLDER).collect()}
     want = {r.key: r.isbn13 for r in isbn_check_digits(spark, FOLDER).collect()}  # the ISBN-10 names the same book

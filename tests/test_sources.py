@@ -11,7 +11,7 @@ from codexa.sources.lzx import decompress
 from codexa.sources.model import BookError, Corrupt, Options, OverLimit, Protected, Unsupported, clean_href, split_identifier
 from codexa.sources.reader import parse
 
-BOOKS = {"epub": b.epub(), "fb2": b.FB2.encode(), "fb2zip": b.zipped({"x.fb2": b.FB2}), "fb3": b.fb3(), "mobi": b.mobi6(), "kf8": b.kf8(), "joint": b.joint(), "palmdoc": b.palmdoc(), "ereader": b.ereader(), "lrf": b.lrf(), "chm": b.chm()}
+BOOKS = {"epub": b.epub(), "fb2": b.FB2.encode(), "fb2zip": b.zipped({"x.fb2": b.FB2}), "fb3": b.fb3(), "mobi": b.mobi6(language=0x409), "kf8": b.kf8(), "joint": b.joint(), "palmdoc": b.palmdoc(), "ereader": b.ereader(), "lrf": b.lrf(), "chm": b.chm()}
 
 
 def test_detection():
@@ -63,7 +63,7 @@ def test_fictionbook():
 
 def test_palm_books():
     book = parse(BOOKS["mobi"])
-    assert (book.version, book.title, book.authors, book.subjects, book.languages) == ("6", "New title", ["Ann"], ["x", "y"], ["en"])
+    assert (book.version, book.title, book.authors, book.subjects, book.languages) == ("6", "New title", ["Ann"], ["x", "y"], ["en-US"])
     assert book.identifiers == [("ISBN", "0306406152"), ("ASIN", "B00")] and book.cover.media_type == "image/png"
     assert book.resources[0].content == b"<html><body><p>One two</p></body></html>"
     assert parse(BOOKS["kf8"]).resources[0].content == b"<html><body><p>inside</p></body></html>"
