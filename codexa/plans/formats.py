@@ -107,6 +107,25 @@ def _chm(key: int, turns: list) -> bytes:
     return sp.chm(pages | {"/a.hhc": f"<ul>{links}</ul>".encode()}, title=f"Help {key}", lcid=LCIDS[key % 8])
 
 
+def _lit(key: int, turns: list) -> bytes:
+    """Pages in a folder that all share, with links to each other; every third package closes too early, every fifth file has a licence."""
+    n = len(turns)
+
+    def page(i: int, text: str) -> str:
+        link = sp.element(3, "", attributes=((0x01, f"Xt{turns[(i + 1) % n][0]}#x"),))
+        return sp.element(50, sp.element(16, sp.element(74, text.replace("\n", "\v"), attributes=((0x83EA, "c"),)), link))
+
+    files = {f"t{t}": (f"C:\\books\\one\\{'a' if t % 2 else 'b%20c'}\\t{t}.htm", page(i, text or "")) for i, (t, _, text) in enumerate(turns)}
+    text = lambda number, value: sp.element(number, value)
+    words = sp.element(20, sp.element(21, text(2, f"Book {key}"), text(3, f"Ann & B{key % 7}"), text(31, "en"), text(24, f"P{key % 5}"), text(22, "x; y"), text(29, f"urn:isbn:{key}")))
+    items = sp.element(16, *[sp.record(3, 17, (0x06, f"t{t}"), (0x07, f"Xt{t}"), (0x08, "text/html")) for t, _, _ in turns])
+    spine = sp.element(18, *[sp.record(3, 19, (0x0A, f"t{t}")) for t, linear, _ in turns if linear])
+    start = sp.record(1, 1, (0x0B, "http://purl.org/dc/elements/1.1/"), (0x03, "{0}"))
+    end = sp.record(2)
+    meta = start + words + (end + items + spine if key % 3 == 0 else items + spine + end)
+    return sp.lit(meta, files, {"/DRMStorage/Licenses/EUL": b"x"} if key % 5 == 4 else None)
+
+
 def _locale(key: int, turns: list) -> bytes:
     return sp.palm(b"BOOKMOBI", [sp.mobi_header(1, language=PALM_CODES[key % len(PALM_CODES)]), b"<p>x</p>"])
 
@@ -150,7 +169,7 @@ def _lenient(key: int, turns: list) -> bytes:
 
 FORMATS = {
     "mobi_lz77": _packed_mobi, "mobi_huffman": _huff_mobi, "mobi_trailed": _trailed_mobi, "palmdoc_lz77": _packed_palmdoc, "kf8": _kf8, "joint": _joint, "fb3": _fb3, "lrf": _lrf, "chm": _chm,
-    "locale": _locale, "drm": _rules, "details": _details, "lenient": _lenient,
+    "lit": _lit, "locale": _locale, "drm": _rules, "details": _details, "lenient": _lenient,
 }
 
 
@@ -186,7 +205,7 @@ def detect_all(spark, sf):
     def run(contents: pd.Series) -> pd.Series:
         return contents.map(lambda x: detect(x) or "none")
 
-    makers = {**MAKERS, **FORMATS, "fb2zip": lambda k, t: sp.zipped({"x.fb2": MAKERS["fb2"](k, t)}), "lit": lambda k, t: b"ITOLITLS" + bytes(40), "short_lit": lambda k, t: b"ITOLITLS", "zip": lambda k, t: sp.zipped({"a": b"b"}), "text": lambda k, t: b"plain"}
+    makers = {**MAKERS, **FORMATS, "fb2zip": lambda k, t: sp.zipped({"x.fb2": MAKERS["fb2"](k, t)}), "empty_lit": lambda k, t: b"ITOLITLS" + bytes(40), "short_lit": lambda k, t: b"ITOLITLS", "zip": lambda k, t: sp.zipped({"a": b"b"}), "text": lambda k, t: b"plain"}
     out = None
     for kind, make in makers.items():
         if kind in ("drm", "locale"):
@@ -198,10 +217,16 @@ def detect_all(spark, sf):
 
 FOUND = {
     "epub": "epub", "fb2": "fb2", "mobi": "mobi", "palmdoc": "mobi", "ereader": "ereader", "mobi_lz77": "mobi", "mobi_huffman": "mobi", "mobi_trailed": "mobi", "palmdoc_lz77": "mobi", "kf8": "mobi", "joint": "mobi",
-    "fb3": "fb3", "lrf": "lrf", "chm": "chm", "details": "epub", "lenient": "fb2", "fb2zip": "fb2", "lit": "lit", "short_lit": "none", "zip": "none", "text": "none",
+    "fb3": "fb3", "lrf": "lrf", "chm": "chm", "details": "epub", "lenient": "fb2", "fb2zip": "fb2", "lit": "lit", "empty_lit": "lit", "short_lit": "none", "zip": "none", "text": "none",
 }
 
 
+def lit_links(spark, sf):
+    """Stored paths of a LIT book's pages without what they share, and the links between them."""
+    rows = reader.resources(reader.parse_books(_files(spark, sf, _lit)))
+    return rows.select(F.col("book_id").cast("long").alias("book_id"), "id", "resolved_href", F.regexp_extract(F.col("content").cast("string"), 'href="([^"]*)"', 1).alias("link"), F.col("content").cast("string").contains('<p class="c">').alias("marked"))
+
+
 def locale_codes(spark, sf):
     return _books("locale", "languages")(spark, sf)
 
@@ -243,6 +268,12 @@ def _sql(**columns: str) -> str:
     return f"SELECT k AS book_id, {', '.join(f'{v} AS {c}' for c, v in columns.items())} FROM ({KEYS})"
 
 
+_FOLDER = "CASE WHEN {0} % 2 = 1 THEN 'a' ELSE 'b c' END"
+_LIT_FILES = f"""SELECT conv_id, turn, (SELECT count(*) FROM conversations o WHERE o.conv_id = c.conv_id) AS n, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), min(turn) OVER (PARTITION BY conv_id)) AS next,
+  count(DISTINCT turn % 2) OVER (PARTITION BY conv_id) AS folders FROM conversations c WHERE conv_id % 5 <> 4"""
+_LIT_SQL = f"""SELECT conv_id AS book_id, 't' || turn AS id, CASE WHEN folders = 2 THEN {_FOLDER.format("turn")} || '/' ELSE '' END || 't' || turn || '.htm' AS resolved_href,
+  CASE WHEN folders = 2 AND turn % 2 <> next % 2 THEN '../' || {_FOLDER.format("next")} || '/' ELSE '' END || 't' || next || '.htm#x' AS link, true AS marked FROM ({_LIT_FILES}) WHERE n > 1"""
+
 QUERIES = {
     "mobi_lz77_text": (_texts("mobi_lz77"), SHA_SQL),
     "mobi_huffman_text": (_texts("mobi_huffman"), SHA_SQL),
@@ -253,6 +284,9 @@ QUERIES = {
     "fb3_text": (_texts("fb3"), SHA_SQL),
     "lrf_book_text": (_texts("lrf"), f"SELECT book_id, sha256(chr(10) || chr(10) || text) AS sha256 FROM ({TEXT_SQL})"),
     "chm_text": (_texts("chm"), SHA_SQL),
+    "lit_text": (_texts("lit"), f"SELECT book_id, sha256(text) AS sha256 FROM ({TEXT_SQL}) WHERE book_id % 5 <> 4"),
+    "lit_metadata": (_books("lit", "file_type", "version", "title", "authors", "languages", "publisher", "subjects", "identifiers", "error_code"), _sql(**{c: f"CASE WHEN k % 5 <> 4 THEN {v} ELSE '' END" for c, v in dict(file_type="'lit'", version="'1'", title="'Book ' || k", authors="'Ann & B' || k % 7", languages="'en'", publisher="'P' || k % 5", subjects="'x|y'", identifiers="'ISBN:' || k").items()}, error_code="CASE WHEN k % 5 = 4 THEN 'DRM' END")),
+    "lit_links": (lit_links, _LIT_SQL),
     "locale_codes": (locale_codes, _sql(languages=f"{_PALM_SQL}[k % {len(PALM_CODES)} + 1]")),
     "kf8_metadata": (_books("kf8", "version", "title", "authors"), _sql(version="'8'", title="'Book ' || k", authors="'Ann|Author ' || k % 7")),
     "joint_metadata": (_books("joint", "version", "title"), _sql(version="'6/8'", title="'New ' || k")),

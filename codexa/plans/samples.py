@@ -263,3 +263,67 @@ def chm(pages: dict[str, bytes], title: str = "Help", lcid: int = 0x409, start:
     base = 0x60 + len(directory)
     head = b"ITSF" + struct.pack("<IIIII", 3, 0x60, 1, 0, lcid) + bytes(32) + struct.pack("<QQQQQ", 0x60, 0, 0x60, len(directory), base)
     return head + directory + store
+
+
+def record(flags: int, number: int = 0, *attributes: tuple[int, str]) -> str:
+    """A record of binary markup; an attribute is its number and value."""
+    inside = "".join(chr(n) + chr(len(v) + 1) + v for n, v in attributes)
+    return "\0" + chr(flags) + chr(number) + (inside + "\0" if flags & 1 else "")
+
+
+def element(number: int, *inside: str, attributes: tuple = ()) -> str:
+    return record(1, number, *attributes) + "".join(inside) + record(2)
+
+
+def lit(meta: str, files: dict[str, tuple[str, str]], more: dict[str, bytes] | None = None, state: str = "spine") -> bytes:
+    """A package in binary markup and pages, internal name -> (stored path, binary markup), packed frame by frame."""
+    sized = lambda text: chr(len(text)).encode() + text.encode()
+    rows = b"".join(struct.pack("<I", 0) + sized(name) + sized(path) + sized("text/html") + b"\0" for name, (path, _) in files.items())
+    counts = {"spine": 0, "not spine": 1, "css": 2, "images": 3}
+    groups = [struct.pack("<i", len(files)) + rows if i == counts[state] else struct.pack("<i", 0) for i in range(4)]
+    content, entries = b"", []
+    for name, (_, binary) in files.items():
+        data = binary.encode()
+        entries.append((f"/data/{name}/content", 1, len(content), len(data)))
+        content += data
+    frames = [lzx_literals(x, slots=30) for x in cut(content, FRAME)]
+    places = [sum(map(len, frames[:i])) for i in range(len(frames))]
+    folder = "::DataSpace/Storage/MSCompressed"
+    guid = bytes.fromhex("C607900A 7640 D311 8789 0000F8105754".replace(" ", ""))
+    names = b"".join(struct.pack("<H", len(n)) + n.encode("utf-16-le") + b"\0\0" for n in ("Uncompressed", "MSCompressed"))
+    plain = {
+        "/meta": meta.encode(), "/manifest": b"\1r" + b"".join(groups) + b"\0", "::DataSpace/NameList": struct.pack("<HH", 0, 2) + names, f"{folder}/Transform/List": guid, f"{folder}/Content": b"".join(frames),
+        f"{folder}/ControlData": struct.pack("<I4sIIIIII", 7, b"LZXC", 2, 1, 1, 0, 0, 0),
+        f"{folder}/Transform/{{0A9007C6-4076-11D3-8789-0000F8105754}}/InstanceData/ResetTable": struct.pack("<10I", 3, len(places), 8, 40, len(content), 0, sum(map(len, frames)), 0, FRAME, 0) + struct.pack(f"<{len(places)}Q", *places),
+        **(more or {}),
+    }
+    store = b""
+    for name, data in plain.items():
+        entries.append((name, 0, len(store), len(data)))
+        store += data
+
+    def number(n):
+        out = bytes((n & 0x7F,))
+        while n := n >> 7:
+            out = bytes((n & 0x7F | 0x80,)) + out
+        return out
+
+    size, sheets, room = 8192, [], 8192 - 48 - 2
+    body, held = b"", 0
+    for name, section, at, length in sorted(entries):
+        row = number(len(name.encode())) + name.encode() + number(section) + number(at) + number(length)
+        if len(body) + len(row) > room:
+            sheets.append((body, held))
+            body, held = b"", 0
+        body, held = body + row, held + 1
+    sheets.append((body, held))
+    pages = b"".join(b"AOLL" + struct.pack("<i", size - 48 - len(b)) + bytes(40) + b + bytes(size - 50 - len(b)) + struct.pack("<H", n) for b, n in sheets)
+    directory = b"IFCM" + struct.pack("<IiIiiiI", 1, size, 0x100000, -1, -1, len(sheets), 0) + pages
+    pieces, second = 2, 4 * 4 + 48 + 32
+    head = 40
+    start = head + 16 * pieces + second
+    base = start + len(directory)
+    blocks = b"\0" * 4 + struct.pack("<i", 16) + bytes(8) + b"CAOL" + struct.pack("<Ii", 2, 48) + bytes(8) + struct.pack("<III", size, 0, 0x100000) + bytes(16)
+    blocks += b"ITSF" + struct.pack("<IiII", 4, 32, 0, base)[:12] + struct.pack("<II", base, 0) + bytes(8)
+    table = struct.pack("<IIiI", 0, 0, 0, 0) + struct.pack("<IIiI", start, 0, len(directory), 0)
+    return b"ITOLITLS" + struct.pack("<Iiiii", 1, head, 0, pieces, len(blocks)) + bytes(head - 28) + table + blocks + directory + store

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codexa.sources import chm, fb2, lrf, mobi, zipbooks
+from codexa.sources import chm, fb2, lit, lrf, mobi, zipbooks
 
 #: In this order the first that matches wins.
 READERS = (
@@ -14,7 +14,7 @@ READERS = (
     ("epub", zipbooks.supports_epub, zipbooks.read_epub),
     ("fb3", zipbooks.supports_fb3, zipbooks.read_fb3),
     ("fb2", fb2.supports, fb2.read),
-    ("lit", lambda d: len(d) >= 40 and d[:8] == b"ITOLITLS", None),
+    ("lit", lit.supports, lit.read),
     ("chm", chm.supports, chm.read),
     ("lrf", lrf.supports, lrf.read),
 )

@@ -84,3 +84,11 @@ def lrf(key=0x30):
 
 def chm(pages=None):
     return samples.chm(pages or {"/a.htm": b"<html><head><title>Home</title><meta name=author content='A; B'></head><body>One</body></html>", "/b.htm": b"<p>Two</p>", "/t.hhc": b'<ul><li><object><param name="Local" value="b.htm#x"></object><li><object><param name="Local" value="a.htm"></object></ul>'})
+
+
+def lit():
+    page = samples.element(50, samples.element(16, samples.element(74, "Lit page")))
+    words = samples.element(20, samples.element(21, samples.element(2, "Title"), samples.element(3, "Ann")))
+    items = samples.element(16, samples.record(3, 17, (0x06, "a"), (0x07, "Xa"), (0x08, "text/html")))
+    meta = samples.element(1, words, items, samples.element(18, samples.record(3, 19, (0x0A, "a"))), attributes=((0x0B, "http://purl.org/dc/elements/1.1/"),))
+    return samples.lit(meta, {"a": ("a.htm", page)})

@@ -11,11 +11,11 @@ from codexa.sources.lzx import decompress
 from codexa.sources.model import BookError, Corrupt, Options, OverLimit, Protected, Unsupported, clean_href, split_identifier
 from codexa.sources.reader import parse
 
-BOOKS = {"epub": b.epub(), "fb2": b.FB2.encode(), "fb2zip": b.zipped({"x.fb2": b.FB2}), "fb3": b.fb3(), "mobi": b.mobi6(language=0x409), "kf8": b.kf8(), "joint": b.joint(), "palmdoc": b.palmdoc(), "ereader": b.ereader(), "lrf": b.lrf(), "chm": b.chm()}
+BOOKS = {"epub": b.epub(), "fb2": b.FB2.encode(), "fb2zip": b.zipped({"x.fb2": b.FB2}), "fb3": b.fb3(), "mobi": b.mobi6(language=0x409), "kf8": b.kf8(), "joint": b.joint(), "palmdoc": b.palmdoc(), "ereader": b.ereader(), "lrf": b.lrf(), "chm": b.chm(), "lit": b.lit()}
 
 
 def test_detection():
-    assert [detect(x) for x in BOOKS.values()] == ["epub", "fb2", "fb2", "fb3", "mobi", "mobi", "mobi", "mobi", "ereader", "lrf", "chm"]
+    assert [detect(x) for x in BOOKS.values()] == ["epub", "fb2", "fb2", "fb3", "mobi", "mobi", "mobi", "mobi", "ereader", "lrf", "chm", "lit"]
     assert detect(b"") is None and detect(b"PK\x03\x04") is None and detect(b"ITOLITLS" + bytes(40)) == "lit"
 
 
@@ -155,7 +155,7 @@ def folder(tmp_path_factory):
 def test_tables(spark, folder):
     parsed = reader.read_books(spark, folder).cache()
     rows = {r.path.rpartition("/")[2]: r for r in reader.books(parsed).collect()}
-    assert len(rows) == 13 and rows["junk"].error_code == "UNSUPPORTED_FORMAT" and rows["drm"].error_code == "DRM" and rows["epub"].cover_pos == 2
+    assert len(rows) == 14 and rows["junk"].error_code == "UNSUPPORTED_FORMAT" and rows["drm"].error_code == "DRM" and rows["epub"].cover_pos == 2
     texts = {r.book_id.rpartition("/")[2]: r.text for r in reader.book_texts(parsed).collect()}
     assert texts["epub"] == "Привет\nПривет" and texts["fb2"].startswith("T\n\nHello") and texts["fb3"] == "One\nTwo" and texts["ereader"] == "Chapter\n\n Hi"
     assert texts["lrf"] == "\n\nHi x\ny" and texts["chm"] == "Two\nOne" and texts["mobi"] == "One two" and texts["kf8"] == "inside"
@@ -172,7 +172,44 @@ def test_data_source_and_stream(spark, folder, tmp_path):
     from codexa.streaming.ingest import ingest, stream_books
 
     datasource.register(spark)
-    assert spark.read.format("ebook").option("path", folder).load().where("error_code is null").count() == 11
+    assert spark.read.format("ebook").option("path", folder).load().where("error_code is null").count() == 12
     for _ in range(2):
         ingest(stream_books(spark, folder, files_per_batch=5), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 13
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 14
+
+
+def test_binary_markup():
+    from codexa.sources.lit import PACKAGE, PAGE, atoms, attribute, markup, output_path, repaired, target, without_shared
+    from codexa.plans.samples import element, record
+
+    make = lambda text, **more: markup(text.encode(), PAGE, attribute, {"i1": "p/q.htm", "i2": "r.htm"}, **more)
+    assert make(element(74, "a & b &amp; <\v\u00e9>", attributes=((0x83EA, 'x"<y'),))) == '<p class="x&quot;&lt;y">a &amp; b &amp; &lt;\n&#233;&gt;</p>'
+    assert make(record(3, 17) + "t" + record(2)) == "<br />t"  # a close with nothing open is forgiven
+    assert make(record(1, 74) + "x") == "<p>x</p>"  # so is a missing one
+    assert make(element(3, "l", attributes=((0x01, "Xi1#f"),)), page="p/z.htm") == '<a href="q.htm#f">l</a>'
+    assert make(element(53, attributes=((0x8BB9, "Xi2"),)), page="p/z.htm") == '<img src="../r.htm"></img>'
+    assert make(record(1, 0x8000)[:-1] + "\x03my" + "\u8000\x02n\x02v" + "\0" + record(2)) == '<my n="v"></my>'
+    assert make("\0\x11\x01\x01\x02v\0" + record(2), own=({1: "st"}, {1: "at"})) == '<st at="v"></st>'
+    assert make(record(1, 74)[:-1] + "\u83ea\uffff\x06\0") == '<p class="5"></p>'
+    for bad in ("\0\x01\x02", "\0\x01J\u7fff\x02a\0", "\0\x01J\u83ea\x09a"):
+        with pytest.raises(Corrupt):
+            make(bad)
+    with pytest.raises(Corrupt):
+        markup(b"\xff", PACKAGE, attribute, {})
+    assert repaired("<package><metadata/></package><manifest/> ") == "<package><metadata/><manifest/></package>" and repaired("<package/>x") == "<package/>x"
+    assert [output_path(p) for p in ("C:\\a\\b.htm", "../../a/./b", "a//b/../c")] == ["/a/b.htm", "a/b", "a/c"]
+    assert without_shared({"a": "/x/y/1", "b": "/x/y/z/2"}) == {"a": "1", "b": "z/2"} and without_shared({"a": "/x/1", "b": "u/2"}) == {"a": "1", "b": "u/2"}
+    assert target("Xnone", {}, "") == "none"
+    assert atoms(b"\1\0\0\0\2ab\1\0\0\0\1\0\0\0c") == ({1: "ab"}, {1: "c"}) and atoms(b"\2\0\0\0\1a\x7f") == ({1: "a"}, {}) and atoms(b"") == ({}, {})
+
+
+def test_help_pages_name_publisher_date_and_isbn():
+    from codexa.functions.isbn import declared_isbn
+    from codexa.sources.help_page import Page, date, isbn, publisher
+
+    page = Page("<meta name=imprint content=X><meta property='DCTERMS.Publisher' content=' Kiadó: Y '><meta name=date content=2000><meta name=isbn content='no'><span class=ISBN10>0-306-40615-2</span>")
+    assert (publisher(page), date(page), isbn(page)) == ("Y", "2000", "0306406152")
+    page = Page("<table><tr><td><b>Publisher</b><td>no<tr><td>publisher<tr><td>The Publisher:<th>x</th></tr></table><meta name=identifier content='9780306406158'>")
+    assert publisher(page) == "The Publisher:x" or publisher(page) == "x" and isbn(page) == ""
+    assert declared_isbn(" ISBN-13: 978-0-306-40615-7 ") == "978-0-306-40615-7" and declared_isbn("x") is None
+    assert len(Page("<div>" * 5000 + "deep").root.text()) == 4
