@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codexa.functions.tokens import shingles, words
+from codexa.functions.tokens import words
 
 # Defaults and constants of the hashes.
 N_HASHES, K = 128, 5
@@ -37,18 +37,15 @@ def seeds(n: int, seed: int = 0) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def fnv1a(values: list[bytes]) -> np.ndarray:
-    """FNV-1a of each value; longer values first, so that a step works on a prefix of them."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
+def fnv1a(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """FNV-1a of each stretch of the data; longer ones first, so that a step works on a prefix of them."""
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(values), np.uint8)
-    starts = (np.cumsum(sizes) - sizes)[order]
-    h = np.full(len(values), FNV_START, np.uint64)
-    live = len(values)
-    ordered = sizes[order]
+    places, ordered = starts[order], -sizes[order]
+    h = np.full(len(sizes), FNV_START, np.uint64)
+    live = len(sizes)
     for i in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-ordered[:live], -i, side="left"))
-        h[:live] = (h[:live] ^ data[starts[:live] + i]) * np.uint64(FNV_PRIME)
+        live = int(np.searchsorted(ordered[:live], -i, side="left"))
+        h[:live] = (h[:live] ^ data[places[:live] + i]) * np.uint64(FNV_PRIME)
     out = np.empty_like(h)
     out[order] = h
     return out
@@ -63,10 +60,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_ends(found: list[str], data: bytes) -> np.ndarray:
+    """Where each word of a text ends, the words being joined by spaces."""
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    if len(spaces) != len(found) - 1:  # folding can put a space into a word
+        return np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in found]) - 1
+    return np.append(spaces, len(data))
+
+
 def _hashed(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts one after another, and how many each text has."""
-    parts = [[s.encode("utf-8", "replace") for s in shingles(words(t), k)] for t in texts]
-    return fnv1a([s for p in parts for s in p]), np.fromiter(map(len, parts), np.int64, len(parts))
+    """Shingle hashes of all texts one after another, and how many each text has.
+
+    A shingle is a stretch of the text's words joined by spaces, so no string is made for it.
+    """
+    parts, starts, stops, counts, at = [], [], [], [], 0
+    for t in texts:
+        found = words(t)
+        n = max(1, len(found) - k + 1) if found else 0
+        counts.append(n)
+        if not n:
+            continue
+        data = " ".join(found).encode("utf-8", "replace")
+        ends = _word_ends(found, data)
+        starts.append(at + np.concatenate(([0], ends[: n - 1] + 1)))
+        stops.append(at + ends[len(ends) - n :])
+        parts.append(data)
+        at += len(data)
+    if not parts:
+        return np.zeros(0, np.uint64), np.array(counts, np.int64)
+    begins = np.concatenate(starts)
+    return fnv1a(np.frombuffer(b"".join(parts), np.uint8), begins, np.concatenate(stops) - begins), np.array(counts, np.int64)
 
 
 def minhash_all(h: np.ndarray, counts: np.ndarray, n: int = N_HASHES, seed: int = 0) -> np.ndarray:

@@ -8,6 +8,7 @@ letters other than ß whose case folding is longer than their lower case.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -41,6 +42,12 @@ def _joined(text: str) -> str:
     return out + text[at:]
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _folded(word: str) -> str:
+    """A word compatibility-folded and case-folded; frequent words are folded once."""
+    return unicodedata.normalize("NFKC", word).casefold()
+
+
 def words(text: str | None) -> list[str]:
     """Words of a text: format characters dropped, split at punctuation, symbols, space and controls, line-end
     hyphens joined, each word compatibility-folded and case-folded."""
@@ -52,7 +59,7 @@ def words(text: str | None) -> list[str]:
     plain = _FORMAT.sub("", text)
     if "-" in plain:
         plain = _joined(plain)
-    return [unicodedata.normalize("NFKC", w).casefold() for w in _BREAK.split(plain) if w]
+    return [_folded(w) for w in _BREAK.split(plain) if w]
 
 
 def shingles(found: list[str], k: int) -> list[str]:

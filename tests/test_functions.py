@@ -6,6 +6,12 @@ from codexa.functions.conversion import DEFAULT, NoConversion, Registry, convert
 from pyspark.sql import functions as F
 
 
+def hashes(values):
+    """FNV-1a of each value."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    return fingerprint.fnv1a(np.frombuffer(b"".join(values), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+
 def values(spark, rows, kind, make):
     """make(column) over rows, in order."""
     table = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], f"i int, v {kind}")
@@ -111,9 +117,9 @@ def test_native_words_agree_on_plain_text(spark):
 
 
 def test_fingerprints(spark):
-    assert int(fingerprint.fnv1a([b"hello"])[0]) == 0xA430D84680AABD0B
+    assert int(hashes([b"hello"])[0]) == 0xA430D84680AABD0B
     text = " ".join(f"w{i * i % 97}" for i in range(400))
-    h = fingerprint.fnv1a([s.encode() for s in tokens.shingles(tokens.words(text), 5)])
+    h = hashes([s.encode() for s in tokens.shingles(tokens.words(text), 5)])
     plain = []
     for seed in fingerprint.seeds(8).tolist():
         best = 2**64 - 1
@@ -136,7 +142,7 @@ def test_estimate_is_near_the_exact_similarity():
     a = [f"w{i}" for i in range(300)]
     b = a[:200] + [f"v{i}" for i in range(100)]
     sets = [set(tokens.shingles(x, 3)) for x in (a, b)]
-    h = [fingerprint.fnv1a([s.encode() for s in x]) for x in sets]
+    h = [hashes([s.encode() for s in x]) for x in sets]
     m = fingerprint.minhash_all(np.concatenate(h), np.array([len(x) for x in sets]), n=256)
     assert abs((m[0] == m[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) <= 0.15
 
@@ -198,3 +204,12 @@ def test_what_a_document_declares():
         (b"<meta charset=gbk/>", "gbk"), (b"\xfe\xff\0<", "utf-16be"), (b"<\0?\0", "utf-16le"),
     ]:
         assert declared(head) == label, head
+
+
+def test_stretches_hash_like_the_shingles_they_stand_for():
+    texts = ["", None, "one", "a b c", "Straße größer İstanbul ﬁnal x² ﷺ end of it all", "the cat sat on the mat the cat sat on the mat", "-- ..", "e\u0301 " * 9]
+    for k in (1, 2, 5):
+        h, counts = fingerprint._hashed(texts, k)
+        plain = [[s.encode() for s in tokens.shingles(tokens.words(t), k)] for t in texts]
+        assert counts.tolist() == [len(p) for p in plain]
+        assert h.tolist() == hashes([s for p in plain for s in p]).tolist()
