@@ -205,7 +205,7 @@ def conversion_graph(spark, sf):
     own = Registry().register("a/a", "b/b", str.upper).register("b/b", "c/c", str.strip).register("a/a", "d/d", str.lower).register("d/d", "e/e", str.lower).register("e/e", "c/c", str.lower).alias("a/a", "A/Z; q=1")
     asked = [("own", own, a, b) for a, b in (("a/a", "c/c"), ("a/z", "c/c"), ("c/c", "a/a"), ("x/x", "X/X;y"), ("a/a", "e/e"))]
     asked += [("default", DEFAULT, a, "text/plain") for a in sorted({a for a, _ in default_registry().steps})]
-    rows = [(g, a, b, None if (path := graph.path(a, b)) is None else len(path)) for g, graph, a, b in asked]
+    rows = [(g, a, b, -1 if (path := graph.path(a, b)) is None else len(path)) for g, graph, a, b in asked]
     return spark.createDataFrame(rows, "graph string, source string, target string, steps long")
 
 
@@ -303,7 +303,7 @@ QUERIES = {
       h AS (SELECT book_id, pos, CASE WHEN seen > 1 THEN id || '__dup' || n ELSE id END AS id FROM f WHERE href_key = 'f3' AND CAST(book_id AS INT) % 2 = 0)
       SELECT book_id, coalesce(h.pos, last + 1) AS pos, CASE WHEN h.pos IS NOT NULL THEN h.id WHEN n1 = 0 THEN 'i1' ELSE 'i1__dup' || coalesce(d.n, 0) + 1 END AS id, h.pos IS NULL AS is_new FROM b LEFT JOIN d USING (book_id) LEFT JOIN h USING (book_id)"""),
     "fb3_body_text": (fb3_body_text, "SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[&<>]', '+', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) || chr(10) || 'a' || chr(10) || 'b') AS sha256 FROM documents"),
-    "conversion_graph": (conversion_graph, "SELECT * FROM (VALUES ('own', 'a/a', 'c/c', 2), ('own', 'a/z', 'c/c', 2), ('own', 'c/c', 'a/a', NULL), ('own', 'x/x', 'X/X;y', 0), ('own', 'a/a', 'e/e', 2)) t(graph, source, target, steps) UNION ALL SELECT 'default', unnest([" + ", ".join(f"'{a}'" for a in sorted({a for a, _ in default_registry().steps})) + "]), 'text/plain', 1"),
+    "conversion_graph": (conversion_graph, "SELECT graph, source, target, CAST(steps AS BIGINT) AS steps FROM (VALUES ('own', 'a/a', 'c/c', 2), ('own', 'a/z', 'c/c', 2), ('own', 'c/c', 'a/a', -1), ('own', 'x/x', 'X/X;y', 0), ('own', 'a/a', 'e/e', 2)) t(graph, source, target, steps) UNION ALL SELECT 'default', unnest([" + ", ".join(f"'{a}'" for a in sorted({a for a, _ in default_registry().steps})) + "]), 'text/plain', 1::BIGINT"),
     "charset_rules": (charset_rules, f"SELECT k, {_word(LABELLED)}[k % {len(LABELS)} + 1] AS label, {_word(DECLARED)}[k % {len(HEADS)} + 1] AS declared FROM ({PART})"),
     "identity_bytes": (identity_bytes, "SELECT doc_id, CAST(length(regexp_replace(text, '[^a-z]', '', 'g')) * CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END + CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS n_bytes FROM documents"),
     "reading_order_types": (reading_order_types, READING),

@@ -101,3 +101,23 @@ def test_minhash_pairs_meet_wherever_they_differ(spark):
 def test_simhash_members_keep_documents_without_a_fingerprint(spark):
     rows = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, None), (5, 0)], "doc_id long, simhash long")
     assert sorted(map(tuple, dedup.simhash_members(rows).collect())) == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 1)]
+
+
+def test_minhash_pairs_equal_brute_force_over_documents(spark):
+    """Every pair of the smallest table whose signatures agree in 0.8 of their places is found."""
+    import os
+
+    import numpy as np
+    from codexa.functions import fingerprint
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = docs.select("doc_id", fingerprint.minhash(F.col("text")).alias("minhash"))
+    held = {}
+    for r in sorted(rows.collect(), key=lambda r: r.doc_id):
+        held.setdefault(tuple(r.minhash), r.doc_id)
+    marks, ids = np.array(list(held)), list(held.values())
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (marks[i] == marks[j]).mean() >= 0.8}
+    assert {(r.a, r.b) for r in dedup.minhash_pairs(rows).collect()} == want
