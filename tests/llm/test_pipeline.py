@@ -42,3 +42,20 @@ def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)}
     assert set(oracle_sql()) <= set(queries())
     assert {*queries(), "pipeline"} <= set(__spark_entry__.queries()) and set(oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_the_language_stage_goes_by_the_random_field_not_by_letters(spark):
+    """A text of four languages in equal parts has letters enough, and goes."""
+    pools = {"en": "the of and that with", "de": "der die und nicht straße", "fr": "le la des une être", "es": "el los una por que"}
+    rows = [(i, f"{words} {words}", k, "s", 0) for k, words in pools.items() for i in range(40)] + [(1000 + i, " ".join(pools.values()), None, "s", 0) for i in range(3)] + [(2000, "12 ?", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").collect()}
+    lettered = {r[0] for r in rows if any(map(str.isalpha, r[1]))}
+    assert kept == set(range(40)) and lettered - kept == {1000, 1001, 1002}
+
+
+def test_one_of_equal_rows_stays_whatever_their_order(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", str(i), 0) for i in range(20)] + [(None, None, None, "n", 0)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    first, again = (sorted(map(str, stage(spark, d, "").collect())) for d in (docs, docs.repartition(5)))
+    assert first == again and len(first) == 2
