@@ -1,35 +1,51 @@
-"""format("ebook"): a Python data source over local folders, one partition for each file. On shared stores use reader.read_books."""
+"""format("ebook"): a Python data source over a folder or a file, local or in a store that Arrow opens by URI (s3, gs, hdfs, file)."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codexa.sources.model import Options
 from codexa.sources.reader import PARSED, row
 
+#: Bytes of files that one task reads, about; a larger file is a task of its own.
+PARTITION_BYTES = 64_000_000
+
 
 class EbookPartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class EbookReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options.get("path", "").removeprefix("file://")
+        self.path = options.get("path", "").strip()
         self.options = Options(int(options.get("maxResourceSize", 0)), int(options.get("maxRecordSize", 0)), int(options.get("maxExthRecords", 0)), options.get("kf8Fallback", "true").lower() == "true", options.get("content", "true").lower() == "true")
 
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
     def partitions(self) -> list[EbookPartition]:
-        if os.path.isfile(self.path):
-            return [EbookPartition(self.path)]
-        return [EbookPartition(os.path.join(d, n)) for d, _, names in sorted(os.walk(self.path)) for n in sorted(names)]
+        store, path = self._store()
+        top = store.get_file_info(path)
+        found = [top] if top.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
+        groups, held = [], PARTITION_BYTES
+        for info in sorted((x for x in found if x.type == fs.FileType.File), key=lambda x: x.path):
+            if held + info.size > PARTITION_BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append(info.path)
+            held += info.size
+        return [EbookPartition(g) for g in groups]
 
     def read(self, partition: EbookPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            found = row(partition.path, f.read(), self.options)
-        yield tuple(self._value(v) for v in found.values())
+        store, _ = self._store()
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                found = row(path, f.read(), self.options)
+            yield tuple(self._value(v) for v in found.values())
 
     def _value(self, v):
         if isinstance(v, list) and v and isinstance(v[0], dict):

@@ -173,6 +173,9 @@ def test_data_source_and_stream(spark, folder, tmp_path):
 
     datasource.register(spark)
     assert spark.read.format("ebook").option("path", folder).load().where("error_code is null").count() == 12
+    assert spark.read.format("ebook").option("path", f"file://{folder}/epub").load().first().title == "A & B"
+    small = datasource.EbookReader({"path": folder})
+    assert len(small.partitions()) == 1 and len(small.partitions()[0].paths) == 14
     for _ in range(2):
         ingest(stream_books(spark, folder, files_per_batch=5), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 14
