@@ -49,9 +49,9 @@ from codexa.llm.common import as_bytes, part, pieces, settle, text_key
 LENGTH = 200
 #: Bytes of a hashed piece, a power of two.
 K = 32
-#: Text of a key beyond which the key is dealt out further, and of one transform.
-HOT = 6_000_000
+#: Text of one transform, and of a key beyond which the key is dealt out further: a key never fills a transform by itself.
 BATCH = 2_000_000
+HOT = BATCH // 4
 #: Starts that stay together when a key is dealt out further, from one round to the next.
 WIDTHS = (32, 8, 1)
 #: Bits of a place within a block of starts, and the starts of a block.

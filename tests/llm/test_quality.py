@@ -43,8 +43,10 @@ def test_the_verdict_is_no_fixed_threshold(corpus):
     chance = [posterior(np.array([split]), *fit(p))[0] for p in (sharp, noisy)]
     on_bad = [fit(p)[2][2, 0] for p in (sharp, noisy)]
     assert chance[1] > chance[0] and on_bad[0] > on_bad[1]
-    few = [posterior(np.array([(1, 1, 0, 0, 0)]), *fit(p))[0] for p in (sharp, [(k, 1 if min(k) > 0 else n) for k, n in sharp])]
-    assert few[0] > few[1]
+    turned = (-1, -1, 1, 1, 1)
+    agree = [((1, 1, 1, 1, 1), 900), ((-1, -1, -1, -1, -1), 90), ((1, 1, -1, -1, -1), 30)]
+    loose = [((1, 1, 1, 1, 1), 300), ((1, 1, -1, -1, -1), 600), ((1, 1, 1, -1, -1), 200), ((1, 1, -1, 1, -1), 200), (turned, 40), ((-1, -1, -1, -1, -1), 60)]
+    assert [bool(posterior(np.array([turned]), *fit(p))[0] >= 0.5) for p in (agree, loose)] == [False, True]
 
 
 def test_the_query_holds_base_figures_and_learns_the_labels(spark, corpus, rows, tmp_path):
