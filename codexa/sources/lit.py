@@ -23,9 +23,10 @@ OPENS, CLOSES, ATOM = 0x01, 0x02, 0x10
 WRITTEN, NUMERIC = 0x8000, 0xFFFF
 # Kinds of files, in the order of the manifest.
 STATES = ("spine", "not spine", "css", "images")
+# What a decoded page begins with, and elements of a word processor that are left out of it.
 DECLARED = '<?xml version="1.0" encoding="UTF-8" ?>\n<!DOCTYPE html PUBLIC\n "+//ISBN 0-9673008-1-9//DTD OEB 1.0.1 Document//EN"\n "http://openebook.org/dtds/oeb-1.0.1/oebdoc101.dtd">\n'
-_SMART = re.compile("</?st1:(?:personname|place|city|country-region)>", re.I)
-_FORM = re.compile("<(/?)form>")
+SMART = ("st1:personname", "st1:place", "st1:city", "st1:country-region")
+_SMART = re.compile("|".join(f"<{end}{name}>" for name in SMART for end in ("", "/")), re.I)
 _BARE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z_:][\w.:-]*;)", re.A)
 
 
@@ -393,7 +394,7 @@ def read(data: bytes, options: Options) -> Book:
             if page:
                 own = atoms(c.read(f"/data/{internal}/atom")) if f"/data/{internal}/atom" in c.entries else ({}, {})
                 made = markup(content, PAGE, attribute, paths, own, paths[internal])
-                content = (DECLARED + _FORM.sub(r"<\1div>", _SMART.sub("", made))).encode()
+                content = (DECLARED + _SMART.sub("", made).replace("<form>", "<div>").replace("</form>", "</div>")).encode()
                 if len(content) > options.max_resource:
                     raise OverLimit(f"{internal} is over {options.max_resource} bytes")
             return fields | {"content": content}
