@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -126,6 +127,50 @@ def _lit(key: int, turns: list) -> bytes:
     return sp.lit(meta, files, {"/DRMStorage/Licenses/EUL": b"x"} if key % 5 == 4 else None)
 
 
+def _cover_epub(key: int, turns: list) -> bytes:
+    """The property, else the meta element names the cover; both or neither by key."""
+    marked, named = key % 4 in (1, 2), key % 4 in (2, 3)
+    items = f'<item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="m" href="m.png" media-type="image/png"{" properties=\'cover-image\'" if marked else ""}/><item id="n" href="n.png" media-type="image/png"/>'
+    meta = '<meta name="cover" content="n"/>' if named else ""
+    opf = f'<package><metadata {DC}><dc:title>T</dc:title>{meta}</metadata><manifest>{items}</manifest><spine><itemref idref="a"/></spine></package>'
+    container = '<container><rootfiles><rootfile full-path="a.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    return sp.zipped({"mimetype": "application/epub+zip", "META-INF/container.xml": container, "a.opf": opf, "a.xhtml": "<p>x</p>", "m.png": PNG, "n.png": PNG})
+
+
+def _cover_mobi(key: int, turns: list) -> bytes:
+    exth = [(201, struct.pack(">I", key % 2))] if key % 4 else []
+    return sp.palm(b"BOOKMOBI", [sp.mobi_header(1, exth=exth, first_image=2), b"<p>x</p>", PNG, b"\xff\xd8\xff\xe0" + bytes(9), b"FLIS"])
+
+
+def _cover_ereader(key: int, turns: list) -> bytes:
+    raw = bytearray(132)
+    for at, value in ((0, 10), (12, 2), (20, 1), (24, 1), (40, 2), (42, 0), (44, 3)):
+        struct.pack_into(">H", raw, at, value)
+    name = b"cover.png" if key % 2 else b"other.png"
+    return sp.palm(b"PNRdPPrs", [bytes(raw), zlib.compress(b"text"), b"PNG " + name.ljust(32, b"\0") + bytes(26) + PNG, b"T\0A\0\0P\0\0"])
+
+
+def _cover_chm(key: int, turns: list) -> bytes:
+    home = f"<html><body><img src='i/{key % 3}.png' alt='{'The Cover' if key % 2 else 'A map'}'></body></html>".encode()
+    return sp.chm({"/a.htm": home, "/i/0.png": PNG, "/i/1.png": PNG})
+
+
+def _contents(key: int, turns: list) -> bytes:
+    """Help with several tables of contents: the one beside the start page and of its name is taken; pages named twice or missing count once or not."""
+    local = lambda *names: "".join(f'<object><param name="Local" value="{n}"></object>' for n in names).encode()
+    pages = {"/d/a.htm": b"<p>A</p>", "/d/b.htm": b"<p>B</p>", "/c.htm": b"<p>C</p>", "/z.hhc": local("c.htm"), "/d/x.hhc": local("a.htm")}
+    if key % 2:
+        pages["/d/a.hhc"] = local("b.htm", "/c.htm#x", "b.htm;y", "none.htm", "a.htm")
+    return sp.chm(pages, start="d/a.htm")
+
+
+def _palm_kind(key: int, turns: list) -> bytes:
+    """A PalmDOC record that is markup, plain text, or plain text that names an element late."""
+    text = (b"\x0e\0 <HTML><body>x</body></html>", b"plain <b>x</b>", b"x" * 4096 + b"<html>", b"\n<Body>y</body>")[key % 4]
+    pages = sp.cut(text)
+    return sp.palm(b"TEXtREAd", [struct.pack(">HHIHHI", 1, 0, len(text), len(pages), 4096, 0), *pages])
+
+
 def _locale(key: int, turns: list) -> bytes:
     return sp.palm(b"BOOKMOBI", [sp.mobi_header(1, language=PALM_CODES[key % len(PALM_CODES)]), b"<p>x</p>"])
 
@@ -227,6 +272,30 @@ def lit_links(spark, sf):
     return rows.select(F.col("book_id").cast("long").alias("book_id"), "id", "resolved_href", F.regexp_extract(F.col("content").cast("string"), 'href="([^"]*)"', 1).alias("link"), F.col("content").cast("string").contains('<p class="c">').alias("marked"))
 
 
+COVERS = {"epub": _cover_epub, "mobi": _cover_mobi, "ereader": _cover_ereader, "chm": _cover_chm, "lrf": _lrf}
+
+
+def book_covers(spark, sf):
+    out = None
+    for kind, make in COVERS.items():
+        parsed = reader.parse_books(_files(spark, sf, make))
+        cover = F.get("resources", F.col("cover_pos"))
+        rows = parsed.select(F.lit(kind).alias("kind"), F.col("path").cast("long").alias("book_id"), F.when(F.col("cover_pos").isNotNull(), cover["name"]).alias("name"), F.when(F.col("cover_pos").isNotNull(), cover["media_type"]).alias("media_type"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def help_order(spark, sf):
+    parsed = reader.parse_books(_files(spark, sf, _contents))
+    name = lambda o: F.get("resources", o["resource_pos"])["resolved_href"]
+    return parsed.select(F.col("path").cast("long").alias("book_id"), F.array_join(F.transform("reading_order", name), ",").alias("pages"))
+
+
+def palm_kinds(spark, sf):
+    parsed = reader.parse_books(_files(spark, sf, _palm_kind))
+    return parsed.select(F.col("path").cast("long").alias("book_id"), F.get("resources", F.lit(0))["media_type"].alias("media_type"))
+
+
 def locale_codes(spark, sf):
     return _books("locale", "languages")(spark, sf)
 
@@ -274,6 +343,14 @@ _LIT_FILES = f"""SELECT conv_id, turn, (SELECT count(*) FROM conversations o WHE
 _LIT_SQL = f"""SELECT conv_id AS book_id, 't' || turn AS id, CASE WHEN folders = 2 THEN {_FOLDER.format("turn")} || '/' ELSE '' END || 't' || turn || '.htm' AS resolved_href,
   CASE WHEN folders = 2 AND turn % 2 <> next % 2 THEN '../' || {_FOLDER.format("next")} || '/' ELSE '' END || 't' || next || '.htm#x' AS link, true AS marked FROM ({_LIT_FILES}) WHERE n > 1"""
 
+COVER_SQL = (
+    ("epub", "[NULL, 'm.png', 'm.png', 'n.png'][k % 4 + 1]", "CASE WHEN k % 4 > 0 THEN 'image/png' END"),
+    ("mobi", "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 1 THEN 'image00002.jpg' ELSE 'image00001.png' END", "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 1 THEN 'image/jpeg' ELSE 'image/png' END"),
+    ("ereader", "CASE WHEN k % 2 = 1 THEN 'cover.png' END", "CASE WHEN k % 2 = 1 THEN 'image/png' END"),
+    ("chm", "CASE WHEN k % 2 = 1 AND k % 3 < 2 THEN (k % 3) || '.png' END", "CASE WHEN k % 2 = 1 AND k % 3 < 2 THEN 'image/png' END"),
+    ("lrf", "'cover.png'", "'image/png'"),
+)
+
 QUERIES = {
     "mobi_lz77_text": (_texts("mobi_lz77"), SHA_SQL),
     "mobi_huffman_text": (_texts("mobi_huffman"), SHA_SQL),
@@ -287,6 +364,9 @@ QUERIES = {
     "lit_text": (_texts("lit"), f"SELECT book_id, sha256(text) AS sha256 FROM ({TEXT_SQL}) WHERE book_id % 5 <> 4"),
     "lit_metadata": (_books("lit", "file_type", "version", "title", "authors", "languages", "publisher", "subjects", "identifiers", "error_code"), _sql(**{c: f"CASE WHEN k % 5 <> 4 THEN {v} ELSE '' END" for c, v in dict(file_type="'lit'", version="'1'", title="'Book ' || k", authors="'Ann & B' || k % 7", languages="'en'", publisher="'P' || k % 5", subjects="'x|y'", identifiers="'ISBN:' || k").items()}, error_code="CASE WHEN k % 5 = 4 THEN 'DRM' END")),
     "lit_links": (lit_links, _LIT_SQL),
+    "book_covers": (book_covers, " UNION ALL ".join(f"SELECT '{kind}' AS kind, k AS book_id, {name} AS name, {mime} AS media_type FROM ({KEYS})" for kind, name, mime in COVER_SQL)),
+    "help_order": (help_order, _sql(pages="CASE WHEN k % 2 = 1 THEN 'd/b.htm,c.htm,d/a.htm' ELSE 'd/a.htm' END")),
+    "palm_kinds": (palm_kinds, _sql(media_type="['application/x-mobipocket-html', 'text/plain', 'text/plain', 'application/x-mobipocket-html'][k % 4 + 1]")),
     "locale_codes": (locale_codes, _sql(languages=f"{_PALM_SQL}[k % {len(PALM_CODES)} + 1]")),
     "kf8_metadata": (_books("kf8", "version", "title", "authors"), _sql(version="'8'", title="'Book ' || k", authors="'Ann|Author ' || k % 7")),
     "joint_metadata": (_books("joint", "version", "title"), _sql(version="'6/8'", title="'New ' || k")),
