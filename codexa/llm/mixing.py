@@ -84,17 +84,21 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
         "source string, source_size long, target double, rate double, offset double, chunks long",
     )
 
+    # a source is two columns that are never null, so that the window and the join below deal rows out alike, once
+    keys = ["named", "unnamed", "chunk"]
+
     def chunked(df: DataFrame) -> DataFrame:
         joined = df.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        return joined.withColumn("chunk", F.pmod("h", "chunks"))
+        return joined.withColumns({"named": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull(), "chunk": F.pmod("h", "chunks")})
 
-    counts = chunked(light).groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col("source").alias("of_"), F.col("chunk").alias("chunk_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = chunked(light).groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("named", "unnamed").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     way = F.when(F.col("chunk") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    order = Window.partitionBy("source", "chunk").orderBy(way, "id", "h")
+    order = Window.partitionBy(*keys).orderBy(way, "id", "h")
     ranked = chunked(rows).withColumn("rank", F.row_number().over(order))
-    placed = ranked.join(settle(bases), F.col("source").eqNullSafe(F.col("of_")) & (F.col("chunk") == F.col("chunk_")))
+    bases = settle(bases)
+    placed = ranked.join(bases, [ranked[k] == bases[f"{k}_"] for k in keys])
     crossed = lambda upto: F.floor(upto * F.col("rate") + F.col("offset"))
     at = F.col("base") + F.col("rank")
     return placed.select("doc", "size", "source_size", "target", (crossed(at) - crossed(at - 1)).alias("copies"))
