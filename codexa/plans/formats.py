@@ -272,6 +272,23 @@ def lit_links(spark, sf):
     return rows.select(F.col("book_id").cast("long").alias("book_id"), "id", "resolved_href", F.regexp_extract(F.col("content").cast("string"), 'href="([^"]*)"', 1).alias("link"), F.col("content").cast("string").contains('<p class="c">').alias("marked"))
 
 
+def _fb2_charset(key: int, turns: list) -> bytes:
+    """A FictionBook in a charset by key, declared or marked; the last one is none that XML allows."""
+    name = ("utf-8", "windows-1252", "utf-16", "utf-16", "utf-32")[key % 5]
+    body = "".join(f"<section><p>{escape(t or '')}</p></section>" for _, linear, t in turns if linear)
+    text = f'<?xml version="1.0" encoding="{name}"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info><book-title>Bücher {key}</book-title></title-info></description><body>{body}</body></FictionBook>'
+    if name == "utf-16":
+        return ("\ufeff" + text).encode("utf-16-le" if key % 5 == 2 else "utf-16-be")
+    return text.encode({"windows-1252": "cp1252", "utf-32": "utf-32"}.get(name, name), "xmlcharrefreplace")
+
+
+def fb2_charsets(spark, sf):
+    parsed = reader.parse_books(_files(spark, sf, _fb2_charset))
+    texts = reader.book_texts(parsed).select("book_id", "text")
+    rows = reader.books(parsed).select(F.col("path").alias("book_id"), "title", F.col("error_code").isNull().alias("readable")).join(texts, "book_id", "left")
+    return rows.select(F.col("book_id").cast("long").alias("book_id"), "title", "readable", F.sha2("text", 256).alias("sha256"))
+
+
 COVERS = {"epub": _cover_epub, "mobi": _cover_mobi, "ereader": _cover_ereader, "chm": _cover_chm, "lrf": _lrf}
 
 
@@ -365,6 +382,7 @@ QUERIES = {
     "lit_metadata": (_books("lit", "file_type", "version", "title", "authors", "languages", "publisher", "subjects", "identifiers", "error_code"), _sql(**{c: f"CASE WHEN k % 5 <> 4 THEN {v} ELSE '' END" for c, v in dict(file_type="'lit'", version="'1'", title="'Book ' || k", authors="'Ann & B' || k % 7", languages="'en'", publisher="'P' || k % 5", subjects="'x|y'", identifiers="'ISBN:' || k").items()}, error_code="CASE WHEN k % 5 = 4 THEN 'DRM' END")),
     "lit_links": (lit_links, _LIT_SQL),
     "book_covers": (book_covers, " UNION ALL ".join(f"SELECT '{kind}' AS kind, k AS book_id, {name} AS name, {mime} AS media_type FROM ({KEYS})" for kind, name, mime in COVER_SQL)),
+    "fb2_charsets": (fb2_charsets, f"SELECT book_id, CASE WHEN book_id % 5 < 4 THEN 'Bücher ' || book_id ELSE '' END AS title, book_id % 5 < 4 AS readable, CASE WHEN book_id % 5 < 4 THEN sha256(text) END AS sha256 FROM ({TEXT_SQL})"),
     "help_order": (help_order, _sql(pages="CASE WHEN k % 2 = 1 THEN 'd/b.htm,c.htm,d/a.htm' ELSE 'd/a.htm' END")),
     "palm_kinds": (palm_kinds, _sql(media_type="['application/x-mobipocket-html', 'text/plain', 'text/plain', 'application/x-mobipocket-html'][k % 4 + 1]")),
     "locale_codes": (locale_codes, _sql(languages=f"{_PALM_SQL}[k % {len(PALM_CODES)} + 1]")),

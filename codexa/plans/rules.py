@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codexa.functions import charset, isbn, markup
 from codexa.functions import strings as st
-from codexa.functions.conversion import DEFAULT, Registry, converted, default_registry, to_text
+from codexa.functions.conversion import DEFAULT, Registry, convert, converted, default_registry, to_text
 from codexa.functions.fingerprint import hamming
 from codexa.operators import dedup
 from codexa.operators import resources as rs
@@ -209,6 +209,14 @@ def conversion_graph(spark, sf):
     return spark.createDataFrame(rows, "graph string, source string, target string, steps long")
 
 
+def custom_conversion(spark, sf):
+    """A graph of one's own: two steps in a row, and types that it does not know."""
+    own = Registry().register("text/plain", "x/upper", str.upper).register("x/upper", "x/marked", lambda t: f"[{t}]")
+    kind = F.when(F.col("doc_id") % 4 == 0, "text/html").otherwise("Text/Plain; charset=utf-8")
+    rows = table(spark, sf, "documents").select("doc_id", convert(F.regexp_replace("text", "[^a-z ]", "").cast("binary"), kind, "x/marked", registry=own).alias("c"))
+    return rows.select("doc_id", F.sha2("c.data", 256).alias("sha256"), F.col("c.error").alias("error"))
+
+
 LABELS = (" UTF8 ", "ascii", "US-ASCII", "cp1251", "CP99999", "ISO-8859-1", "", "Shift_JIS")
 LABELLED = ("utf-8", "utf-8", "utf-8", "windows-1251", "cp99999", "iso-8859-1", "", "shift_jis")
 HEADS = ('<?xml version="1.0" encoding="koi8-r"?>', "<html><meta charset=big5>", '<meta http-equiv=x content="text/html; charset=windows-1250">', "<?xml encoding='utf-8'?>", "plain", "<meta charset=nonsense>", "<?XML encoding = 'gbk' ?>")
@@ -260,9 +268,14 @@ UNION ALL SELECT conv_id, 'both', CAST(sum(length(text)) AS BIGINT), sha256(stri
 # fingerprints that are close
 
 
+TURNED = (0, 1, 3, 7 << 10, 15 << 20, 1 << 59, 5, 7)
+
+
 def close_fingerprints(spark, sf):
-    """Pairs of made fingerprints that differ in three bits or fewer."""
-    marks = _rows(spark, sf).select(F.col("k").alias("doc_id"), ((F.col("k").cast("long") * F.col("k") * 7919 + F.col("k").cast("long") * 104_729) % 65_536).alias("simhash"))
+    """Pairs of made fingerprints that differ in three bits or fewer: eight around each of many, with up to four bits turned."""
+    group = F.md5(F.floor(F.col("k") / 8).cast("string"))
+    base = F.conv(F.substring(group, 1, 15), 16, 10).cast("long")
+    marks = _rows(spark, sf).select(F.col("k").alias("doc_id"), base.bitwiseXOR(F.get(F.lit(list(TURNED)), F.col("k") % 8)).alias("simhash"))
     return dedup.simhash_pairs(marks).select("a", "b", "distance")
 
 
@@ -271,7 +284,7 @@ def hamming_rows(spark, sf):
     return _rows(spark, sf).select("k", hamming(k * 48271 % 1_048_576, k * 16807 % 1_048_576).cast("long").alias("distance"))
 
 
-_MARKS = "SELECT min(k) AS doc_id, m FROM (SELECT CAST(p_partkey AS BIGINT) AS k, (CAST(p_partkey AS BIGINT) * p_partkey * 7919 + CAST(p_partkey AS BIGINT) * 104729) % 65536 AS m FROM part) GROUP BY m"
+_MARKS = f"""SELECT min(k) AS doc_id, m FROM (SELECT p_partkey AS k, xor(CAST('0x' || substr(md5(CAST(p_partkey // 8 AS VARCHAR)), 1, 15) AS BIGINT), [{", ".join(f"{t}::BIGINT" for t in TURNED)}][p_partkey % 8 + 1]) AS m FROM part) GROUP BY m"""
 _OVER_TEXTS = lambda sql: sql.replace("FROM documents", f"FROM (SELECT book_id AS doc_id, text FROM ({TEXT_SQL}))")
 _HEAD = "left(text, CAST(list_max(list_filter(range(0, {0} + 1), lambda i: strlen(left(text, i)) <= {0})) AS BIGINT))"
 
@@ -304,6 +317,7 @@ QUERIES = {
       SELECT book_id, coalesce(h.pos, last + 1) AS pos, CASE WHEN h.pos IS NOT NULL THEN h.id WHEN n1 = 0 THEN 'i1' ELSE 'i1__dup' || coalesce(d.n, 0) + 1 END AS id, h.pos IS NULL AS is_new FROM b LEFT JOIN d USING (book_id) LEFT JOIN h USING (book_id)"""),
     "fb3_body_text": (fb3_body_text, "SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[&<>]', '+', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) || chr(10) || 'a' || chr(10) || 'b') AS sha256 FROM documents"),
     "conversion_graph": (conversion_graph, "SELECT graph, source, target, CAST(steps AS BIGINT) AS steps FROM (VALUES ('own', 'a/a', 'c/c', 2), ('own', 'a/z', 'c/c', 2), ('own', 'c/c', 'a/a', -1), ('own', 'x/x', 'X/X;y', 0), ('own', 'a/a', 'e/e', 2)) t(graph, source, target, steps) UNION ALL SELECT 'default', unnest([" + ", ".join(f"'{a}'" for a in sorted({a for a, _ in default_registry().steps})) + "]), 'text/plain', 1::BIGINT"),
+    "custom_conversion": (custom_conversion, "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN sha256('[' || upper(regexp_replace(text, '[^a-z ]', '', 'g')) || ']') END AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'NO_TRANSFORMER' END AS error FROM documents"),
     "charset_rules": (charset_rules, f"SELECT k, {_word(LABELLED)}[k % {len(LABELS)} + 1] AS label, {_word(DECLARED)}[k % {len(HEADS)} + 1] AS declared FROM ({PART})"),
     "identity_bytes": (identity_bytes, "SELECT doc_id, CAST(length(regexp_replace(text, '[^a-z]', '', 'g')) * CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END + CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS n_bytes FROM documents"),
     "reading_order_types": (reading_order_types, READING),

@@ -144,6 +144,7 @@ def read(data: bytes, options: Options) -> Book:
         raise Unsupported("no FictionBook in the archive")
     encoding = label(raw)
     text = charset.decode(raw, encoding).replace("\0", "").lstrip("﻿")
+    text = re.sub(r"^\s*<\?xml.*?\?>", "", text, count=1, flags=re.S)  # its encoding no longer holds
     try:
         root = parse_xml(text.encode())
     except Corrupt:
