@@ -1,5 +1,6 @@
 """Every query of this subpackage over a small table with nulls, repeated rows and clashing columns, over no rows, and against its SQL."""
 
+import hashlib
 import os
 
 import pytest
@@ -63,3 +64,30 @@ def test_query_equals_its_sql(spark, name):
     out = queries()[name](spark, sf)
     names = ", ".join(out.columns)
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, con.sql(f"SELECT {names} FROM ({oracle_sql()[name]})").fetchall()))
+
+
+@pytest.fixture(scope="module")
+def megabyte(spark, tmp_path_factory):
+    """A text of a megabyte, twice, beside a null one and short ones of two languages."""
+    folder = tmp_path_factory.mktemp("megabyte")
+    long = "\n".join(f"the water of house {i} and light {i * 7919 % 10007}" for i in range(26_000))
+    rows = [(1, long, "en", "a", 0), (1, long, "en", "a", 0), (2, None, None, None, None)] + [(10 + i, ("the water and light " if i % 2 else "der die und nicht ") * 9, ("de", "en")[i % 2], "b", 0) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    page = f"<nav><a>x</a></nav><article>{''.join(f'<p>{line}</p>' for line in long.split(chr(10)))}</article>"
+    spark.createDataFrame([(1, "u", page, ""), (1, "u", page, "")], PAGES).write.parquet(f"{folder}/pages.parquet")
+    return str(folder), long
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_a_text_of_a_megabyte_is_read_whole_and_equal_rows_have_equal_values(spark, megabyte, name):
+    folder, long = megabyte
+    words = long.split()
+    key = RETURNED[name.split("_")[0]].split()[0]
+    found = [r for r in queries()[name](spark, folder).collect() if r[key] == 1]
+    assert len(long) > 1_000_000 and len(found) == 2 and (name.startswith("op1_") or found[0] == found[1] or name.startswith("op8_"))
+    whole = {
+        "op1": lambda r: r.size == len(words), "op2": lambda r: r.n_words == len(words) and r.word_chars == sum(map(len, words)), "op3": lambda r: r.n_removed == r.n_bytes == len(long),
+        "op4": lambda r: r.lang_pred == "en" and r.score > 0.5, "op5": lambda r: r.n_email == 0, "op6": lambda r: r.component_id == 1 and len(r.fingerprint) == 16, "op7": lambda r: r.n_bytes == len(long),
+        "op8": lambda r: r.n_lines == 26_000, "op9": lambda r: r.text == " ".join(words), "op10": lambda r: r.n_tokens > len(words) and r.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest(),
+    }
+    assert all(whole[name.split("_")[0]](r) for r in found)
