@@ -219,12 +219,14 @@ def output_path(original: str) -> str:
 
 def without_shared(paths: dict[str, str]) -> dict[str, str]:
     """Paths without the folders that all have in common; what is still rooted keeps its name only."""
-    if len(paths) > 1:
-        shared = posixpath.commonprefix(list(paths.values())) if len(set(paths.values())) > 1 else next(iter(paths.values()))
-        if shared and not (len(set(paths.values())) == 1):
-            shared = shared[: shared.rfind("/") + 1]
-        paths = {k: v[len(shared) :] for k, v in paths.items()}
-    return {k: posixpath.basename(v) if v.startswith("/") and len(paths) > 1 else v for k, v in paths.items()}
+    if len(paths) < 2:
+        return paths
+    every = list(paths.values())
+    shared = posixpath.commonprefix(every)
+    if any(p != shared for p in every):
+        shared = shared[: shared.rfind("/") + 1]
+    short = {k: v[len(shared) :] for k, v in paths.items()}
+    return {k: posixpath.basename(v) if v.startswith("/") else v for k, v in short.items()}
 
 
 def manifest(raw: bytes) -> tuple[dict[str, str], dict[str, str]]:
