@@ -33,7 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose shingles of five words have a Jaccard similarity of 0.8 or more, also by way of others, the one of smallest doc_id stays.
 
-    Null and empty texts are one group; of repeated rows one stays.
+    Candidates are the links of SimHash fingerprints that the trie self-join finds, and, as it cannot find all at this
+    similarity, pairs that meet in MinHash bands; each is checked on its shingles. Null and empty texts are one group;
+    of repeated rows one stays.
     """
     return first_of(docs, labelled(docs))
 
