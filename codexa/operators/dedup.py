@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from codexa.functions.fingerprint import hamming, jaccard
 
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Bits of three blocks at most; a key has the number of its table above them.
+KEY_BITS = 33
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,14 +43,20 @@ def simhash_pairs(marks: DataFrame, distance: int = 3) -> DataFrame:
         raise ValueError("six blocks find distances up to 3")
     classes = simhash_classes(marks)
     bits = lambda at, n: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << n) - 1))
-    keys = [F.struct(F.lit(i).alias("table"), *[bits(*b).alias(f"k{j}") for j, b in enumerate(three)]) for i, three in enumerate(combinations(BLOCKS, 3))]
+    keys = []
+    for i, three in enumerate(combinations(BLOCKS, 3)):
+        key, at = F.lit(i << KEY_BITS).cast("long"), 0
+        for start, n in three:
+            key, at = key.bitwiseOR(F.shiftleft(bits(start, n), at)), at + n
+        keys.append(key)
     dealt = classes.select("simhash", "doc_id", F.explode(F.array(*keys)).alias("key"))
     left = dealt.select("key", F.col("simhash").alias("x"), F.col("doc_id").alias("a"))
     right = dealt.select("key", F.col("simhash").alias("y"), F.col("doc_id").alias("b"))
-    near = left.join(right, "key").where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= distance)
+    # the planner takes twenty keys a row for one; by that estimate it would send all of them to the driver and to every task
+    near = left.hint("merge").join(right.hint("merge"), "key").where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= distance)
     # a pair meets on every key it shares; it is taken on the first
     first = F.array_min(F.transform(F.array(*[F.when(_agree(three), F.lit(i)) for i, three in enumerate(combinations(BLOCKS, 3))]), lambda x: F.coalesce(x, F.lit(99))))
-    return near.where(F.col("key.table") == first).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return near.where(F.shiftright("key", KEY_BITS) == first).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 def _agree(blocks):

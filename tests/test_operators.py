@@ -121,3 +121,13 @@ def test_minhash_pairs_equal_brute_force_over_documents(spark):
     marks, ids = np.array(list(held)), list(held.values())
     want = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (marks[i] == marks[j]).mean() >= 0.8}
     assert {(r.a, r.b) for r in dedup.minhash_pairs(rows).collect()} == want
+
+
+def test_simhash_pairs_are_joined_where_the_rows_are(spark):
+    """Twenty keys a row escape the planner's estimate: the pairs' join never gathers a side on the driver."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 8 + F.floor(F.col("id") / 8) * 2**40).alias("simhash"))
+    pairs = dedup.simhash_pairs(rows)
+    marks = [i % 8 + (i // 8 << 40) for i in range(40)]
+    want = {(i, j, d) for i in range(40) for j in range(i + 1, 40) if (d := (marks[i] ^ marks[j]).bit_count()) <= 3}
+    assert {tuple(r) for r in pairs.collect()} == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
