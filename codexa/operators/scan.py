@@ -80,10 +80,16 @@ def text_with_fingerprint(parts: DataFrame, **options) -> DataFrame:
 
 
 def heads_only(parts: DataFrame, n: int) -> DataFrame:
-    """The linear parts that the first n bytes of a book reach, for scans that need no more."""
-    before = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    return parts.where("linear").withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("before") < n).drop("before")
+    """The linear parts that the first n bytes of a book reach, for scans that need no more; other parts stay without text, so that no book is lost.
+
+    A part after exactly n bytes is reached: the separator before it is the last of them. Parts of one place follow each
+    other by text, as in the reading order.
+    """
+    text, linear = F.coalesce("text", F.lit("")), F.coalesce("linear", F.lit(False))
+    before = Window.partitionBy("book_id").orderBy("pos", text).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(linear, F.octet_length(text) + 1).otherwise(0)
+    reached = parts.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(~linear | (F.col("before") <= n)).drop("before")
+    return reached.withColumn("text", F.when(linear, F.col("text")))
 
 
 def book_isbns(parts: DataFrame, window: int = WINDOW_BYTES, limit: int = 0) -> DataFrame:

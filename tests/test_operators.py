@@ -56,6 +56,14 @@ def test_heads_cut_at_bytes(spark):
     assert [sc.scan(rows, sc.text_head(n)).first().head for n in (0, 1, 2, 3, 6, 7, 8, 99)] == ["", "a", "a", "aé", "aé", "aé\U0001f600", "aé\U0001f600b", "aé\U0001f600b"]
 
 
+def test_heads_of_few_parts_equal_heads_of_whole_texts(spark):
+    rows = [(1, 0, True, True, "abc"), (1, 1, True, True, "d"), (2, 0, True, True, "é"), (2, 1, False, True, "note"), (2, 2, True, True, None), (2, 3, True, True, "x"), (3, 0, False, True, "only a note"), (4, 5, True, True, "b"), (4, 5, True, True, "a")]
+    parts = spark.createDataFrame(rows, "book_id int, pos int, linear boolean, in_order boolean, text string")
+    for n in range(1, 8):
+        few = sc.scan(rs.reading_text(sc.heads_only(parts, n), "\n"), sc.text_head(n))
+        assert sorted(few.collect()) == sorted(sc.scan_reading_order(parts, sc.text_head(n)).collect())
+
+
 def test_book_isbns_go_on_to_other_parts(parts):
     assert {r.book_id: r.isbns for r in sc.book_isbns(parts).collect()} == {1: ["0306406152", "043942089X"], 2: [], 3: ["0306406152"]}
     assert {r.book_id: r.isbns for r in sc.book_isbns(parts, limit=1).collect()} == {1: ["0306406152"], 2: [], 3: ["0306406152"]}
