@@ -82,14 +82,15 @@ class _Block:
     def numbered(self, buckets: int) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
         """The block's key, its words in the order of their numbers, their buckets, each word's number."""
         coded = pa.chunked_array(self.words).dictionary_encode().combine_chunks()
+        self.words = []
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.chunk(0) if coded.num_chunks else pa.array([], pa.binary()).dictionary_encode()
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         bucket = (hashes % np.uint64(buckets)).astype(np.int32)
         order = pc.sort_indices(pa.table({"b": pa.array(bucket), "w": coded.dictionary}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
-        number = np.empty(len(order), np.int64)
+        number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order))
-        numbers = number[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
+        numbers = number[coded.indices.to_numpy()] if len(order) else number
         # the key follows from the block's content, so that a task that runs again gives the same
         key = xxhash.xxh64(hashes[order].tobytes())
         key.update(numbers.astype("<u4").tobytes())

@@ -241,7 +241,7 @@ def train(docs: DataFrame, sample: dict = SAMPLE, seed: int = 0) -> Model:
     by a hash of id and text over the whole table; of a longer text a passage of at most its bytes,
     from a place that the hash gives. Same rows, same sample, in any order and partitioning.
     """
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = bounded(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.select("lang", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("hash"))
     counts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()  # one row for each language
     if not counts:

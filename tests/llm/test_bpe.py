@@ -7,6 +7,7 @@ tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from codexa.llm.byte_bpe import Tokens, decode, encode, encoded_digests, read_ranks  # noqa: E402
+from codexa.llm.common import bounded  # noqa: E402
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -42,3 +43,9 @@ def test_digests_and_empty_tables(corpus, rows, nothing, plain):
     assert encode(nothing, PATH, PATTERN).count() == 0
     with pytest.raises(ValueError, match="vocabulary"):
         Tokens({b"a": 0, b"b": 5}).decode(np.array([3]))
+
+
+def test_parquet_is_read_in_pieces_unless_the_user_says_otherwise(spark):
+    own, other = spark.newSession(), spark.newSession()
+    own.conf.set("parquet.hadoop.vectored.io.enabled", "true")
+    assert [bounded(s.range(1)).sparkSession.conf.get("parquet.hadoop.vectored.io.enabled") for s in (own, other)] == ["true", "false"]
