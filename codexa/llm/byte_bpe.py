@@ -42,6 +42,8 @@ BLOCK_BYTES = 16_000_000
 BUCKET_BYTES, PER_BUCKET = 8_000_000, 256
 #: Encoded words that a task remembers; beyond that it starts afresh (and may encode a word again).
 REMEMBERED = 1_000_000
+#: Ranges whose numbers are written out at once.
+RANGES = 1 << 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,19 +71,21 @@ class _Block:
     """Documents of a task until they fill a block; then its words, or its documents' word numbers."""
 
     def __init__(self) -> None:
-        self.words: list[pa.Array] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
         self.docs: list[tuple[pa.Array, np.ndarray]] = []
         self.size = 0
 
     def add(self, ids: pa.Array, words: pa.ListArray) -> None:
+        # distinct words and numbers, and a copy of the ids: a slice of a batch would keep all of its text
         flat = words.flatten().cast(pa.large_binary())
-        self.words.append(flat)
-        self.docs.append((ids, pc.list_value_length(words).to_numpy(zero_copy_only=False)))
+        coded = flat.dictionary_encode()
+        self.words.append((coded.dictionary, coded.indices.to_numpy()))
+        self.docs.append((ids.take(pa.array(np.arange(len(ids)))), pc.list_value_length(words).to_numpy(zero_copy_only=False)))
         self.size += pc.sum(pc.binary_length(flat)).as_py() or 0
 
     def numbered(self, buckets: int) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
         """The block's key, its words in the order of their numbers, their buckets, each word's number."""
-        coded = pa.chunked_array(self.words).dictionary_encode().combine_chunks()
+        coded, pieces = pa.chunked_array([w for w, _ in self.words]).dictionary_encode().combine_chunks(), [(len(w), at) for w, at in self.words]
         self.words = []
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.chunk(0) if coded.num_chunks else pa.array([], pa.binary()).dictionary_encode()
@@ -91,6 +95,8 @@ class _Block:
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order))
         numbers = number[coded.indices.to_numpy()] if len(order) else number
+        ends = np.cumsum([n for n, _ in pieces])
+        numbers = np.concatenate([numbers[end - n : end][at] for end, (n, at) in zip(ends, pieces, strict=True)])
         # the key follows from the block's content, so that a task that runs again gives the same
         key = xxhash.xxh64(hashes[order].tobytes())
         key.update(numbers.astype("<u4").tobytes())
@@ -107,10 +113,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, side: str, limit: i
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype("<u4")
             shrink, rows = zstandard.ZstdCompressor(level=1), []
-            plain = words.to_pylist()
             for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 some = slice(edges[b], edges[b + 1])
-                rows.append((b, shrink.compress(np.uint32(edges[b + 1] - edges[b]).tobytes() + sizes[some].tobytes() + b"".join(plain[some]))))
+                rows.append((b, shrink.compress(np.uint32(edges[b + 1] - edges[b]).tobytes() + sizes[some].tobytes() + b"".join(words[some].to_pylist()))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                 ["bucket", "block", "blob"],
@@ -201,6 +206,12 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What stands in all ranges start..start+count, one after another."""
+    parts = [values[_ranges(starts[i : i + RANGES], counts[i : i + RANGES])] for i in range(0, len(starts), RANGES)]
+    return np.concatenate(parts) if parts else values[:0]
+
+
 class Tokens:
     """The table of token bytes; decode() joins ids to it."""
 
@@ -216,7 +227,7 @@ class Tokens:
         at = np.searchsorted(self.ids, ids)
         if len(ids) and (at.max() >= len(self.ids) or (self.ids[at] != ids).any()):
             raise ValueError("an id is not in the vocabulary")
-        return self.data[_ranges(self.starts[at], self.sizes[at])], self.sizes[at]
+        return _gathered(self.data, self.starts[at], self.sizes[at]), self.sizes[at]
 
 
 @functools.lru_cache(maxsize=2)
@@ -274,7 +285,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], ranks, emit: Callable) -> Itera
             if len(numbers) and numbers.max() >= len(counts):
                 raise RuntimeError("a block lacks its words: its documents were read in another order the second time")
             own = counts[numbers]
-            stream = ids[_ranges(starts[numbers], own)]
+            stream = _gathered(ids, starts[numbers], own)
             words = np.array(batch.column("counts")[i].as_py(), np.int64)
             ends = np.concatenate(([0], np.cumsum(own)))[np.cumsum(words)]
             yield emit(batch.column("doc_id")[i].values, stream, ends, tokens)

@@ -34,14 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch; Spark's defaults hold tens of MB of text twice, in the JVM and in Python.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4000000"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2000000"}
 #: Parquet's vectored reads take a column of a row group (100 MB and more of text) in one piece; Java then keeps a buffer of
 #: that size outside the heap for each of its reading threads, for good. Plain reads take 8 MB at a time, on the heap.
-PARQUET = {"parquet.hadoop.vectored.io.enabled": "false"}
+#: They still hold a row group's column, and a writer holds a row group; so these are written in 16 MB, not 128.
+PARQUET = {"parquet.hadoop.vectored.io.enabled": "false", "parquet.block.size": "16000000"}
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The table; its session's Arrow batches and Parquet reads are made smaller where the user has not set their size."""
+    """The table; its session's Arrow batches, Parquet reads and row groups are made smaller where the user has not set their size."""
     conf = df.sparkSession.conf
     own = conf.getAll
     for key, value in (ARROW | PARQUET).items():

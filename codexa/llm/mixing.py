@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +80,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     light = settle(rows.select("source", "h", "size"))
     stats = light.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     want = targets({r.source: r.s for r in stats}, weights, share, most)
+    # by way of Arrow: rows of Python would start Python workers on the executors, which stay beside the next stage's
     plan = spark.createDataFrame(
-        [(r.source, r.s, want[r.source], want[r.source] / r.s if r.s else 0.0, offset(r.source, seed), -(-r.n // chunk)) for r in stats],
-        "source string, source_size long, target double, rate double, offset double, chunks long",
+        pa.Table.from_pylist(
+            [{"source": r.source, "source_size": r.s, "target": want[r.source], "rate": want[r.source] / r.s if r.s else 0.0, "offset": offset(r.source, seed), "chunks": -(-r.n // chunk)} for r in stats],
+            pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("rate", pa.float64()), ("offset", pa.float64()), ("chunks", pa.int64())]),
+        )
     )
 
     # a source is two columns that are never null, so that the window and the join below deal rows out alike, once

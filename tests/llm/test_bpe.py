@@ -1,13 +1,17 @@
 import hashlib
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from codexa.llm.byte_bpe import Tokens, decode, encode, encoded_digests, read_ranks  # noqa: E402
-from codexa.llm.common import bounded  # noqa: E402
+from codexa.llm.byte_bpe import Tokens, _Block, decode, encode, encoded_digests, read_ranks  # noqa: E402
+from codexa.llm.common import bounded, settle  # noqa: E402
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -49,3 +53,42 @@ def test_parquet_is_read_in_pieces_unless_the_user_says_otherwise(spark):
     own, other = spark.newSession(), spark.newSession()
     own.conf.set("parquet.hadoop.vectored.io.enabled", "true")
     assert [bounded(s.range(1)).sparkSession.conf.get("parquet.hadoop.vectored.io.enabled") for s in (own, other)] == ["true", "false"]
+
+
+def test_row_groups_are_small_unless_the_user_says_otherwise(spark):
+    """A task holds a row group that it writes, and a row group's texts that it reads."""
+    sizes = []
+    for own in (None, "200000000"):
+        session = spark.newSession()
+        if own:
+            session.conf.set("parquet.block.size", own)
+        table = settle(session.range(0, 4_000, 1, 1).selectExpr("id", "concat_ws('', transform(sequence(1, 300), i -> sha2(concat(id, ':', i), 256))) text"))
+        found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+        sizes.append([m.row_group(i).total_byte_size for m in found for i in range(m.num_row_groups)])
+    assert len(sizes[0]) > 2 and len(sizes[1]) == 1 and sum(sizes[1]) > 70_000_000
+
+
+def test_a_block_holds_its_distinct_words_not_its_text():
+    words = [f" word{i % 1000:0200}" for i in range(100_000)]
+    held = pa.total_allocated_bytes()
+    block = _Block()
+    for i in range(0, 100_000, 1000):
+        batch = pa.record_batch([pa.array([i]), pa.array([words[i : i + 1000]])], ["doc_id", "words"])
+        block.add(batch.column("doc_id"), batch.column("words"))
+        block.add(batch.column("doc_id").slice(1), batch.column("words").slice(1))
+    del batch
+    assert block.size == sum(map(len, words)) and block.docs[2][0].to_pylist() == [1000]
+    coded, distinct, bucket, numbers = block.numbered(3)
+    assert [w.decode() for w in distinct.take(pa.array(numbers)).to_pylist()] == words and (np.diff(bucket) >= 0).all()
+    assert pa.total_allocated_bytes() - held < 5_000_000
+
+
+def test_decoding_takes_memory_by_the_piece():
+    tokens = Tokens({bytes([i]) * 8: i for i in range(256)})
+    ids = np.arange(1_000_000, dtype=np.uint32) % 251
+    tracemalloc.start()
+    data, sizes = tokens.decode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.tobytes() == bytes(np.repeat(np.arange(1_000_000) % 251, 8).astype(np.uint8)) and len(sizes) == 1_000_000
+    assert peak < 80_000_000
